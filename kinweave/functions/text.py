@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from kinweave.runtime import ship
+
 #: A string without any character from U+0300 on (combining marks and all later blocks) is in NFC already.
 _MAY_CHANGE = r"[^\u0000-˿]"
 
@@ -19,6 +21,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """``c`` in Unicode form NFC; only strings that could change go through Python."""
+    ship(SparkSession.active())
     return F.when(c.rlike(_MAY_CHANGE), _nfc(F.when(c.rlike(_MAY_CHANGE), c))).otherwise(c)
 
 

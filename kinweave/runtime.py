@@ -111,7 +111,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python workers can import it anywhere."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     import shutil
     from pathlib import Path

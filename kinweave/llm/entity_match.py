@@ -13,12 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinweave.functions.text import nfc
 from kinweave.operators.components import connected_components
-from kinweave.operators.ordering import global_positions
 from kinweave.runtime import Shelf, rows_of, ship
 
-#: Rows of a sort order that one task compares; neighbours across its end are copied in.
-BLOCK = 2_000
-
 #: Legal forms, folded to lower case without umlauts, as they are written out or shortened. Fixed values.
 LEGAL_FORMS = (
     r"gesellschaft mit beschrankter haftung|mit beschrankter haftung|ges\.? ?m\.? ?b\.? ?h\.?|g\.? ?m\.? ?b\.? ?h\.?|kommanditgesellschaft auf aktien|komm\.?-?ges\.? a\.? ?akt\.?|k\.?-?g\.? ?a\.? ?a\.?|kgaa|"
@@ -134,16 +130,6 @@ def _key_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.array_compact(keys), words))))
 
 
-def _date_evidence(a: Column, b: Column, na: Column, nb: Column, same: float, slip: float, other: float) -> Column:
-    """Equal dates; dates a usual slip apart (one part of the date wrong, parts swapped, a day, ten days, a month or a year off); or others."""
-    y, m, d = (lambda x: F.floor(x / 10000)), (lambda x: F.floor(x / 100) % 100), (lambda x: x % 100)
-    eq = lambda f: F.when(f(a) == f(b), 1).otherwise(0)
-    near = F.abs(y(a) - y(b)) <= 1
-    swapped = (y(a) == y(b)) & (m(a) == d(b)) & (d(a) == m(b))
-    off = F.coalesce(F.abs(na - nb).isin(1, 10, 28, 29, 30, 31, 364, 365, 366, 367), F.lit(False))
-    return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, same).when(off | (near & (swapped | (eq(y) + eq(m) + eq(d) >= 2))), slip).otherwise(other)
-
-
 def name_evidence(a, b) -> Column:
     shared = F.size(F.array_intersect(a["grams"], b["grams"])) / F.greatest(F.lit(1), F.least(F.size(a["grams"]), F.size(b["grams"])))
     known = (F.size(a["grams"]) > 0) & (F.size(b["grams"]) > 0)
@@ -169,50 +155,165 @@ def city_evidence(a, b) -> Column:
     return F.when(a["city"].isNull() | b["city"].isNull(), 0.0).when(a["city"] == b["city"], 1.0).otherwise(other)
 
 
-def field_evidence(a, b) -> Column:
-    """Evidence of every field but name and city, for (positive) and against (negative) one entity."""
-    km = _km(a, b)
-    place = F.when(km.isNull(), 0.0).when(km <= 0.1, 3.0).when(km <= 0.6, 2.0).when(km <= 2.0, 1.0).when(km <= 4.0, 0.0).when(km <= 25.0, -2.5).otherwise(-4.0)
+def _date_evidence(a, b, na, nb, same: float, slip: float, other: float):
+    """Equal dates; dates a usual slip apart (one part of the date wrong, parts swapped, a day, ten days, a month or a year off); or others."""
+    import numpy as np
+
+    y, m, d = (lambda x: x // 10000), (lambda x: x // 100 % 100), (lambda x: x % 100)
+    ya, ma, da, yb, mb, db = y(a), m(a), d(a), y(b), m(b), d(b)
+    alike = (ya == yb).astype(np.int8) + (ma == mb) + (da == db)
+    swapped = (ya == yb) & (ma == db) & (da == mb)
+    off = np.abs(na - nb)
+    usual = (off == 1) | (off == 10) | ((off >= 28) & (off <= 31)) | ((off >= 364) & (off <= 367))
+    out = np.where(usual | ((np.abs(ya - yb) <= 1) & (swapped | (alike >= 2))), slip, other)
+    return np.where((a == 0) | (b == 0), 0.0, np.where(a == b, same, out))
+
+
+def field_evidence(a: dict, b: dict):
+    """Evidence of every field but name and city, for (positive) and against (negative) one entity, over arrays of sketches."""
+    import numpy as np
+
+    dlon = np.abs(a["lon"] - b["lon"])
+    dlon = np.minimum(dlon, 360.0 - dlon) * np.cos(np.radians(a["lat"]))
+    km = 111.2 * np.sqrt((a["lat"] - b["lat"]) ** 2 + dlon**2)
+    place = np.select([np.isnan(km), km <= 0.1, km <= 0.6, km <= 2.0, km <= 4.0, km <= 25.0], [0.0, 3.0, 2.0, 1.0, 0.0, -2.5], -4.0)
     found = _date_evidence(a["found"], b["found"], a["found_n"], b["found_n"], 5.0, 2.5, -5.0)
-    year = F.when((a["found"].isNotNull() & b["found"].isNotNull()) | a["year"].isNull() | b["year"].isNull(), 0.0).when(F.abs(a["year"] - b["year"]) <= 1, 1.0).otherwise(-2.5)
+    no_year = ((a["found"] != 0) & (b["found"] != 0)) | (a["year"] == 0) | (b["year"] == 0)
+    year = np.where(no_year, 0.0, np.where(np.abs(a["year"] - b["year"]) <= 1, 1.0, -2.5))
     registered = _date_evidence(a["registered"], b["registered"], a["registered_n"], b["registered_n"], 4.0, 1.5, -2.0)
     ca, cb = a["capital"], b["capital"]
-    raised = F.abs(F.least(ca, cb) * 1.5 - F.greatest(ca, cb)) <= 25_000
-    capital = F.when(ca.isNull() | cb.isNull(), 0.0).when(ca == cb, 3.0).when(raised, 1.5).otherwise(-1.5)
-    trade = F.when(a["trade"].isNull() | b["trade"].isNull(), 0.0).when(a["trade"] == b["trade"], 1.0).otherwise(-4.0)
-    purpose = F.when(a["purpose"].isNull() | b["purpose"].isNull(), 0.0).when(a["purpose"] == b["purpose"], 2.0).otherwise(-1.0)
-    return place + found + year + registered + capital + trade + purpose
+    raised = np.abs(np.minimum(ca, cb) * 1.5 - np.maximum(ca, cb)) <= 25_000
+    capital = np.where((ca == 0) | (cb == 0), 0.0, np.where(ca == cb, 3.0, np.where(raised, 1.5, -1.5)))
+    same = lambda f, yes, no: np.where((a[f] == 0) | (b[f] == 0), 0.0, np.where(a[f] == b[f], yes, no))
+    return place + found + year + registered + capital + same("trade", 1.0, -4.0) + same("purpose", 2.0, -1.0)
 
 
-#: What the window carries of a record: numbers and hashes only.
+#: What the sorted table carries of a record: numbers and hashes only; 0 (NaN for coordinates) is null.
 _SKETCH = ("src", "id", "found", "found_n", "year", "registered", "registered_n", "capital", "trade", "purpose", "lat", "lon")
+_PAIR = ("s1", "id1", "s2", "id2", "rest")
+
+
+def _slide(window: int, least: float):
+    """Sorted sketches to (kind 0) neighbour pairs with enough evidence and (kind 1) the first and
+    last rows of the partition, whose neighbours lie in the next one.
+
+    Batches are compared as arrays shifted by 1..window places; the last rows of
+    a batch go before the next one, so a task holds one batch.
+    """
+
+    def run(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, seen, tail, head = TaskContext.get().partitionId(), 0, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(_SKETCH)}
+            new["at"] = np.arange(seen, seen + b.num_rows)
+            if head is None or len(head["at"]) < window:
+                more = {c: v[:window] for c, v in new.items()}
+                head = more if head is None else {c: np.concatenate([head[c], more[c]])[:window] for c in head}
+            rows = new if tail is None else {c: np.concatenate([tail[c], new[c]]) for c in new}
+            old = 0 if tail is None else len(tail["at"])
+            seen += b.num_rows
+            for k in range(1, window + 1):
+                lo = max(0, old - k)  # pairs within the old rows are done
+                if len(rows["at"]) - k <= lo:
+                    continue
+                x, y = {c: v[lo : len(v) - k] for c, v in rows.items()}, {c: v[lo + k :] for c, v in rows.items()}
+                keep = _hopeful(x, y, least)
+                if keep is not None:
+                    yield _out(0, keep, None)
+            tail = {c: v[-window:] for c, v in rows.items()}
+        if head is not None:
+            ends = {c: np.concatenate([head[c], tail[c]]) for c in head}
+            _, first = np.unique(ends["at"], return_index=True)
+            ends = {c: v[first] for c, v in ends.items()}
+            yield _out(1, None, ends | {"part": np.full(len(first), part), "rows": np.full(len(first), seen)})
+
+    def _out(kind, pairs, ends):
+        import numpy as np
+        import pyarrow as pa
+
+        n = len(pairs["s1"]) if pairs else len(ends["at"])
+        cols, names = [pa.array(np.full(n, kind, np.int32))], ["kind"]
+        for c in _PAIR:
+            kind_of = pa.float64() if c == "rest" else pa.int64()
+            cols.append(pa.array(pairs[c], kind_of) if pairs else pa.nulls(n, kind_of))
+            names.append(c)
+        for c in (*_SKETCH, "at", "part", "rows"):
+            kind_of = pa.float64() if c in ("lat", "lon") else pa.int64()
+            cols.append(pa.array(ends[c], kind_of, from_pandas=False) if ends else pa.nulls(n, kind_of))
+            names.append(c)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
+def _hopeful(x: dict, y: dict, least: float) -> dict | None:
+    """Of neighbours x[i], y[i], those of different records whose field evidence reaches ``least``."""
+    import numpy as np
+
+    rest = field_evidence(x, y)
+    ok = np.flatnonzero((rest >= least) & ((x["id"] != y["id"]) | (x["src"] != y["src"])))
+    if not len(ok):
+        return None
+    turn = (x["src"][ok] > y["src"][ok]) | ((x["src"][ok] == y["src"][ok]) & (x["id"][ok] > y["id"][ok]))
+    pick = lambda p, q, f: np.where(turn, q[f][ok], p[f][ok])
+    return {"s1": pick(x, y, "src"), "id1": pick(x, y, "id"), "s2": pick(y, x, "src"), "id2": pick(y, x, "id"), "rest": rest[ok]}
+
+
+def _across(ends: list, window: int, least: float) -> list[tuple]:
+    """Pairs across partition ends, from the first and last rows of every partition."""
+    import numpy as np
+
+    offsets, at = {}, 0
+    for part, n in sorted({(r["part"], r["rows"]) for r in ends}):
+        offsets[part] = at
+        at += n
+    ends = sorted(ends, key=lambda r: offsets[r["part"]] + r["at"])
+    cols = {c: np.array([r[c] for r in ends]) for c in (*_SKETCH, "part")}
+    pos = np.array([offsets[r["part"]] + r["at"] for r in ends])
+    out = []
+    for k in range(1, window + 1):
+        if len(pos) <= k:
+            break
+        near = np.flatnonzero((pos[k:] - pos[:-k] <= window) & (cols["part"][k:] != cols["part"][:-k]))
+        x, y = {c: v[near] for c, v in cols.items()}, {c: v[near + k] for c, v in cols.items()}
+        keep = _hopeful(x, y, least) if len(near) else None
+        if keep:
+            out += [tuple(v.item() for v in t) for t in zip(*(keep[c] for c in _PAIR))]
+    return out
 
 
 def scored_neighbours(rows: DataFrame, shelf: Shelf, window: int = 6, threshold: float = 6.0) -> DataFrame:
     """(s1, id1, s2, id2, score): neighbours in any sort order with at least ``threshold`` evidence, each once.
 
-    The sorted table carries sketches of the records; neighbours whose numbers
-    and dates leave the threshold within reach of name and city meet again with
-    their texts, once each.
+    The records' keys are range-partitioned and sorted with sketches of the
+    records; neighbours whose numbers and dates leave the threshold within reach
+    of name and city meet again with their texts, once each.  Neighbours on
+    either side of a partition's end are compared on the driver: 2 x window rows
+    a partition.
     """
-    sketch = F.struct(*[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) if c == "trade" else F.col(c) for c in _SKETCH])
-    keyed = _key_rows(rows).select("key", "src", "id", sketch.alias("a"))
-    ordered = global_positions(keyed, [F.col("key"), F.col("src"), F.col("id")], shelf, "sorted")
-    block = F.floor(F.col("pos") / BLOCK).cast("long")
-    edge = (F.col("pos") % BLOCK < window) & (F.col("pos") >= BLOCK)
-    copies = F.when(edge, F.array(block, block - 1)).otherwise(F.array(block))
-    spread = ordered.select(F.explode(copies).alias("block"), block.alias("home"), "pos", "a")
-    after = Window.partitionBy("block").orderBy("pos").rowsBetween(1, window)  # at most BLOCK + window rows
-    met = spread.withColumn("next", F.collect_list("a").over(after)).filter(F.col("block") == F.col("home"))
-    pairs = met.select("a", F.explode("next").alias("b")).filter((F.col("a.id") != F.col("b.id")) | (F.col("a.src") != F.col("b.src")))
-    pairs = pairs.withColumn("rest", field_evidence(F.col("a"), F.col("b"))).filter(F.col("rest") >= threshold - _TEXT_MOST)
-    turn = (F.col("a.src") > F.col("b.src")) | ((F.col("a.src") == F.col("b.src")) & (F.col("a.id") > F.col("b.id")))
-    pick = lambda x, y, f: F.when(turn, F.col(f"{y}.{f}")).otherwise(F.col(f"{x}.{f}"))
-    once = pairs.select(pick("a", "b", "src").alias("s1"), pick("a", "b", "id").alias("id1"), pick("b", "a", "src").alias("s2"), pick("b", "a", "id").alias("id2"), "rest")
-    once = once.groupBy("s1", "id1", "s2", "id2").agg(F.max("rest").alias("rest"))
+    spark = rows.sparkSession
+    ship(spark)
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(10**9) if c.endswith("_n") else 0).cast("long")).alias(c)
+    coded = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c)).alias(c)
+    place = lambda c: F.coalesce(F.col(c), F.lit(float("nan"))).alias(c)
+    sketch = [coded(c) if c in ("trade", "purpose") else place(c) if c in ("lat", "lon") else number(c) for c in _SKETCH]
+    keyed = _key_rows(rows).select("key", *sketch)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartitionByRange(n, "key", "src", "id").sortWithinPartitions("key", "src", "id").select(*_SKETCH)
+    least = threshold - _TEXT_MOST
+    kinds = ", ".join(f"{c} double" if c in ("rest", "lat", "lon") else f"{c} long" for c in (*_PAIR, *_SKETCH, "at", "part", "rows"))
+    met = shelf.put(ordered.mapInArrow(_slide(window, least), f"kind int, {kinds}"), "met")
+    across = _across([r.asDict() for r in met.filter(F.col("kind") == 1).collect()], window, least)
+    pairs = met.filter(F.col("kind") == 0).select(*_PAIR).unionByName(spark.createDataFrame(across, "s1 long, id1 long, s2 long, id2 long, rest double"))
+    once = pairs.groupBy("s1", "id1", "s2", "id2").agg(F.max("rest").alias("rest"))
     texts = F.struct("grams", "kind", "city", "lat", "lon")
-    ta = rows.select(F.col("src").alias("s1"), F.col("id").alias("id1"), texts.alias("a"))
-    tb = rows.select(F.col("src").alias("s2"), F.col("id").alias("id2"), texts.alias("b"))
+    ta = rows.select(F.col("src").cast("long").alias("s1"), F.col("id").alias("id1"), texts.alias("a"))
+    tb = rows.select(F.col("src").cast("long").alias("s2"), F.col("id").alias("id2"), texts.alias("b"))
     full = once.join(ta, ["s1", "id1"]).join(tb, ["s2", "id2"])
     score = F.col("rest") + city_evidence(F.col("a"), F.col("b")) + name_evidence(F.col("a"), F.col("b"))
     return full.select("s1", "id1", "s2", "id2", score.alias("score")).filter(F.col("score") >= threshold)
@@ -294,7 +395,7 @@ def assign(confidence: DataFrame, shelf: Shelf, task_edges: int = 5_000) -> Data
     return out
 
 
-def match_entities(left: DataFrame, right: DataFrame, left_cols=("id", "current_name", "lat", "lon"), right_cols=("id", "alternative_name", "lat_noise", "lon_noise"), window: int = 6, threshold: float = 6.0, same_source: float = 8.0) -> DataFrame:
+def match_entities(left: DataFrame, right: DataFrame, left_cols=("id", "current_name", "lat", "lon"), right_cols=("id", "alternative_name", "lat_noise", "lon_noise"), window: int = 6, threshold: float = 6.0, same_source: float = 8.5) -> DataFrame:
     """(left_id, right_id, confidence): ids of two sources that mean the same entity.
 
     Records are compared within ``window`` places of each other in each sort

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import grouping, term_counts, tokenizer, top_n
+from kinweave.llm import entity_match, grouping, leakage, name_variants, term_counts, tokenizer, top_n
 from kinweave.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("left_id", "right_id")
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match_entities(read(spark, d, "companies_left"), read(spark, d, "companies_right"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(read(spark, d, "companies_left"), "id", "current_name", "loaded_at", batches=2).marked()
 
@@ -24,6 +32,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.consolidate(read(spark, d, "matches"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(name_variants.link_variants(read(spark, d, "board_names")))
+
+
+def p6_bearers(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.link_variants(read(spark, d, "board_names"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.torn_groups(read(spark, d, "panel"), read(spark, d, "matches"))
 
@@ -43,6 +59,19 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the pages that hold no evaluation passage."""
+    return leakage.without_leaks(read(spark, d, "documents").select("doc_id"), p9_leaks(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.split_oversized(read(spark, d, "documents")).filter(F.col("piece_no") == 1).select("doc_id")
 
@@ -51,7 +80,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.split_oversized(read(spark, d, "documents")).select("doc_id", "piece_no", "piece")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p4_found, p5_found, p7_found, p7_split, p8_ids, p8_round_trip, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p5_found, p6_found, p6_bearers, p7_found, p7_split, p8_ids, p8_round_trip, p9_found, p9_leaks, p9_clean, p10_found, p10_pieces)}
 
 _LINKS = 'SELECT "left" AS x, "right" AS y FROM matches WHERE "left" IS NOT NULL AND "right" IS NOT NULL'
 

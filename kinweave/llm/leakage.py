@@ -66,6 +66,17 @@ class Letters:
         return k1, k2
 
 
+class Passage:
+    """One passage's letters, word starts and sorted grams."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        self.codes, self.starts = codes, starts
+        grams = _grams(codes)
+        self.order = np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
+        self.bounds = np.maximum(1, np.diff(np.concatenate([starts, [len(codes)]])))
+
+
 class Items:
     """The evaluation passages of a block, ready for searching."""
 
@@ -80,11 +91,14 @@ class Items:
         self.usable = ends[self.item_of] - starts >= SEED
         self.word_no = np.arange(len(starts)) - np.searchsorted(starts, self.begin)[self.item_of]
 
-    def passage(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(letters, word starts) of passage i."""
-        a, b = self.begin[i], self.letters.ends[i]
-        s = self.letters.starts
-        return self.letters.codes[a:b], s[(s >= a) & (s < b)] - a
+        self._read: dict[int, Passage] = {}
+
+    def passage(self, i: int) -> Passage:
+        if i not in self._read:
+            a, b = self.begin[i], self.letters.ends[i]
+            s = self.letters.starts
+            self._read[i] = Passage(self.letters.codes[a:b], s[np.searchsorted(s, a) : np.searchsorted(s, b)] - a)
+        return self._read[i]
 
 
 def seeds(items: Items, shard: Letters) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +176,7 @@ def candidates(items: Items, shard: Letters, least_seeds: int, least_cover: int)
     return out
 
 
-_GRAM = 6
+_GRAM = 7
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -173,7 +187,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def running_words(passage: np.ndarray, starts: np.ndarray, text: np.ndarray, low: int = -(10**9), high: int = 10**9, enough: int = 0) -> tuple[int, float, int, int]:
+def running_words(passage: Passage, text: np.ndarray, low: int = -(10**9), high: int = 10**9, enough: int = 0) -> tuple[int, float, int, int]:
     """(words, share, longest, letters): the longest stretch of running words of the passage in the text.
 
     Short verbatim pieces of both are chained in order; within a chain letters
@@ -183,15 +197,16 @@ def running_words(passage: np.ndarray, starts: np.ndarray, text: np.ndarray, low
     covered words most outweigh missing ones.  words is its length, share the
     part of it that is covered, longest the letters of the longest verbatim match.
     """
-    gp, gt = _grams(passage), _grams(text)
-    if not len(gp) or not len(gt):
+    starts, letters_of = passage.starts, len(passage.codes)
+    gt, sp = _grams(text), passage.grams
+    if not len(sp) or not len(gt) or not len(starts):
         return 0, 0.0, 0, 0
-    order = np.argsort(gp, kind="stable")
-    sp = gp[order]
-    lo, hi = np.searchsorted(sp, gt, "left"), np.searchsorted(sp, gt, "right")
-    n = hi - lo
-    t = np.repeat(np.arange(len(gt)), n)
-    p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    lo = np.searchsorted(sp, gt, "left")
+    some = np.flatnonzero(sp[np.minimum(lo, len(sp) - 1)] == gt)
+    lo = lo[some]
+    n = np.searchsorted(sp, gt[some], "right") - lo
+    t = np.repeat(some, n)
+    p = passage.order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     if not len(p):
         return 0, 0.0, 0, 0
     diag = t - p
@@ -207,32 +222,33 @@ def running_words(passage: np.ndarray, starts: np.ndarray, text: np.ndarray, low
     o = np.argsort(a, kind="stable")
     a, d, size = a[o], d[o], size[o]
     end, m = a + size, len(a)
-    bounds = np.concatenate([starts, [len(passage)]])
-    share_of = lambda covered: np.add.reduceat(covered, starts) / np.maximum(1, np.diff(bounds))
+    share_of = lambda covered: np.add.reduceat(covered, starts) / passage.bounds
     if enough:  # all pieces together bound what any chain of them covers
-        edge = np.zeros(len(passage) + 1, np.int64)
+        edge = np.zeros(letters_of + 1, np.int64)
         np.add.at(edge, a, 1)
         np.add.at(edge, end, -1)
         if (share_of(np.cumsum(edge)[:-1] > 0) >= 0.5).sum() < enough:
             return 0, 0.0, 0, 0
     score, back = size.astype(np.float64), np.full(m, -1)
-    for j in range(1, m):
-        i0 = np.searchsorted(a, a[j] - 160)
-        gap = a[j] - end[i0:j]
-        shift = d[j] - d[i0:j]
-        over = np.maximum(0, -gap)
-        tgap = gap + shift  # letters of the text between the pieces
-        price = 0.7 * np.maximum(gap, 0) + np.where(np.abs(shift) <= 3, 1.0 + 0.5 * np.abs(shift), 9.0 + 0.01 * np.abs(shift))
-        ok = (gap >= -24) & (gap <= 45) & (tgap >= -24) & (tgap + over >= 0) & (tgap <= 420) & (end[i0:j] < end[j])
-        if not ok.any():
-            continue
-        v = np.where(ok, score[i0:j] - price - over, -1.0)
-        b = int(np.argmax(v))
-        if v[b] > 0:
-            score[j] += v[b]
-            back[j] = i0 + b
+    for j0 in range(0, m, 256):  # the gain of reaching piece j from piece i, for 256 pieces at once
+        js = np.arange(j0, min(m, j0 + 256))
+        i0 = int(np.searchsorted(a, a[j0] - 160))
+        gap = a[js, None] - end[None, i0 : js[-1] + 1]
+        off = d[js, None] - d[None, i0 : js[-1] + 1]
+        tgap = gap + off  # letters of the text between the pieces
+        over, far = np.maximum(-gap, 0), np.abs(off)
+        gain = -(0.7 * np.maximum(gap, 0) + np.where(far <= 3, 1.0 + 0.5 * far, 9.0 + 0.01 * far) + over)
+        ok = (gap >= -24) & (gap <= 45) & (tgap >= -24) & (tgap + over >= 0) & (tgap <= 420) & (end[None, i0 : js[-1] + 1] < end[js, None])
+        gain[~ok] = -np.inf
+        for r, j in enumerate(js):
+            if j > i0:
+                v = score[i0:j] + gain[r, : j - i0]
+                b = int(v.argmax())
+                if v[b] > 0:
+                    score[j] += v[b]
+                    back[j] = i0 + b
     j = int(np.argmax(score))
-    covered = np.zeros(len(passage), bool)
+    covered = np.zeros(letters_of, bool)
     longest, letters = 0, 0
     while j >= 0:
         covered[a[j] : end[j]] = True
@@ -264,11 +280,11 @@ def _search(id_type: pa.DataType, blocks: list[tuple[list, list]], item_type: pa
             for items in prepared:
                 best: dict[tuple[int, int], tuple] = {}
                 for i, d, shift in candidates(items, letters, least_seeds, least_cover):
-                    passage, starts = items.passage(i)
+                    passage = items.passage(i)
                     a = max(begin[d], begin[d] + shift - MARGIN)
-                    b = min(letters.ends[d], begin[d] + shift + len(passage) + BAND + MARGIN)
+                    b = min(letters.ends[d], begin[d] + shift + len(passage.codes) + BAND + MARGIN)
                     low = shift - MARGIN - int(a - begin[d])
-                    found = running_words(passage, starts, letters.codes[a:b], low, low + BAND + 2 * MARGIN, enough)
+                    found = running_words(passage, letters.codes[a:b], low, low + BAND + 2 * MARGIN, enough)
                     best[(i, d)] = max(best.get((i, d), (0, 0.0, 0, 0)), found)
                 rows += [(ids[d], items.ids[i], *v) for (i, d), v in best.items() if keep(*v)]
             if not rows:

@@ -176,7 +176,7 @@ def candidates(items: Items, shard: Letters, least_seeds: int, least_cover: int)
     return out
 
 
-_GRAM = 7
+_GRAM = 6
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:

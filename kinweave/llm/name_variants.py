@@ -118,15 +118,17 @@ class NameReader:
         for p in TRADES:
             if t == p or (len(p) >= 4 and t.startswith(p) and (len(t) <= len(p) + 3 or any(w.startswith(t) or near(t, w, 3) for w in _TRADE_WORDS if w.startswith(p)))):
                 return "trade", "elek" if p == "el" else p
-        if len(t) >= 5:
+        if len(t) >= 5:  # slips, beyond the first letter
             for w, p in _TRADE_WORDS.items():
+                if w[0] not in t[:2]:
+                    continue
                 if near(t, w, 2 if len(w) >= 8 else 1) or near(t, w[: len(t)], 1):
                     return "trade", p
             for w in ("aktiengesellschaft", "gesellschaft", "kommanditgesellschaft", "genossenschaft", "eingetragene", "beschrankter", "haftung", "aktien", "actien"):
-                if near(t, w, 2 if len(w) >= 8 else 1):
+                if w[0] in t[:2] and near(t, w, 2 if len(w) >= 8 else 1):
                     return "legal", w
             for w in ("kommerzienrat", "justizrat", "rentner", "rentier", "bankier", "direktor", "ebenda"):
-                if near(t, w, 2 if len(w) >= 8 else 1):
+                if w[0] in t[:2] and near(t, w, 2 if len(w) >= 8 else 1):
                     return "title", w
             for w, g in (("jungere", "J"), ("senior", "S"), ("altere", "S")):
                 if near(t, w, 1):
@@ -155,7 +157,7 @@ class NameReader:
         first, pre = (firsts[0] if firsts else ""), ""
         if not first and len(words) >= 2:  # a slip in the given name
             for w in words:
-                hit = [n for f, n in self.forms.items() if len(f) >= 4 and near(w, f, 1 if len(f) < 7 else 2)]
+                hit = [n for f, n in self.forms.items() if len(f) >= 4 and f[0] in w[:2] and near(w, f, 1 if len(f) < 7 else 2)]
                 if hit:
                     first = min(hit, key=lambda n: (not near(w, n, 1), n))
                     words = [x for x in words if x != w]
@@ -202,6 +204,12 @@ def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(least, keys).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
 
 
+def _beginnings(spark) -> DataFrame:
+    """(known, pre): every way to shorten a given name or its pet forms; a few hundred rows, from the fixed list."""
+    rows = {(fold_name(n), fold_name(f)[:k]) for n, forms in GIVEN_NAMES.items() for f in (n, *forms) for k in range(1, 6)}
+    return F.broadcast(spark.createDataFrame(sorted(rows), "known string, pre string"))
+
+
 def _full_keys(profiles: DataFrame) -> DataFrame:
     """(c, own, tag): what identifies a bearer: surname with given name and generation, or own name with trade."""
     person = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", "own", F.concat_ws("|", F.lit("P"), "first", "gen").alias("tag"))
@@ -209,21 +217,12 @@ def _full_keys(profiles: DataFrame) -> DataFrame:
     # an initial of a merged profile stands for the one given name of the profile that it fits
     firsts = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", F.col("first").alias("known")).distinct()
     initials = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
-    fits = initials.join(firsts, "c").filter(F.col("known").startswith(F.col("pre")) | _pet_fits())
+    fits = initials.join(firsts, "c").join(_beginnings(profiles.sparkSession), ["known", "pre"])
     told = fits.groupBy("c", "own", "pre", "gen").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter(F.col("lo") == F.col("hi"))
     told = told.select("c", "own", F.concat_ws("|", F.lit("P"), "lo", "gen").alias("tag"))
     return person.unionByName(firm).unionByName(told).distinct()
 
 
-def _pet_fits():
-    """Whether ``pre`` begins a pet form of the given name ``known``."""
-    out = F.lit(False)
-    for n, forms in GIVEN_NAMES.items():
-        for f in forms:
-            out = out | ((F.col("known") == fold_name(n)) & F.lit(fold_name(f)).startswith(F.col("pre")))
-    return out
-
-
 def _initial_edges(profiles: DataFrame, full: DataFrame) -> DataFrame:
     """Profiles known by an initial only, to the one bearer of that surname, generation and initial; if nobody
     with a full given name bears the surname, to each other; if several fit, to none."""
@@ -231,7 +230,7 @@ def _initial_edges(profiles: DataFrame, full: DataFrame) -> DataFrame:
     kinds = waiting.select("own", "pre", "gen").distinct()
     named = full.filter(F.col("tag").startswith("P|")).select("own", F.split("tag", r"\|")[1].alias("known"), F.split("tag", r"\|")[2].alias("gen"), "c")
     bearers = named.groupBy("own", "known", "gen").agg(F.min("c").alias("b"), F.max("c").alias("top"))
-    fits = kinds.join(bearers, ["own", "gen"]).filter(F.col("known").startswith(F.col("pre")) | _pet_fits())
+    fits = kinds.join(bearers, ["own", "gen"]).join(_beginnings(profiles.sparkSession), ["known", "pre"])
     one = fits.groupBy("own", "pre", "gen").agg(F.min("b").alias("b"), F.max("top").alias("top"), F.count(F.lit(1)).alias("n"))
     certain = one.filter((F.col("n") == 1) & (F.col("b") == F.col("top")))
     known = waiting.join(certain.select("own", "pre", "gen", "b"), ["own", "pre", "gen"]).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")

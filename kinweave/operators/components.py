@@ -19,10 +19,13 @@ MAX_ROUNDS = 200
 
 
 def _jump(m: DataFrame, shelf: Shelf, total: int) -> DataFrame:
-    """(u, p): p replaced by its root; p <= u, so every chain ends."""
+    """(u, p): p replaced by its root; chains must end.  ``total`` bounds the rows."""
     for _ in range(MAX_ROUNDS):
         up = m.select(F.col("u").alias("pu"), F.col("p").alias("pp"))
-        nxt = shelf.put(skew_lookup(m, "p", up, "pu", total, "left").select("u", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "jump")
+        hop = skew_lookup(m.select("u", "p"), "p", up, "pu", total, "left").select("u", F.coalesce("pp", "p").alias("q"), "p")
+        if total <= SMALL_ROWS:  # a second hop in the same job
+            hop = skew_lookup(hop.select("u", F.col("q").alias("p")), "p", up, "pu", total, "left").select("u", F.coalesce("pp", "p").alias("q"), "p")
+        nxt = shelf.put(hop.select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "jump")
         shelf.drop(m)
         m, moved = nxt.select("u", "p"), not nxt.filter("moved").isEmpty()
         m._kinweave_path = nxt._kinweave_path
@@ -47,14 +50,16 @@ def connected_components(edges: DataFrame, a: str = "left", b: str = "right", no
     ids = ids.distinct()
 
     maps: list[DataFrame] = []
+    bound = 0
     e = clean.filter(F.col("a") != F.col("b"))
     for _ in range(MAX_ROUNDS):
         total = rows_of(e)
+        bound = max(bound, 2 * total)
         if not total:
             break
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
         hook = shelf.put(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hook")
-        m = _jump(hook, shelf, rows_of(hook))
+        m = _jump(hook, shelf, 2 * total)  # an edge has two ends
         maps.append(m)
         ra = m.select(F.col("u").alias("ka"), F.col("p").alias("pa"))
         rb = m.select(F.col("u").alias("kb"), F.col("p").alias("pb"))
@@ -73,8 +78,7 @@ def connected_components(edges: DataFrame, a: str = "left", b: str = "right", no
             root = m
         else:
             up = root.select(F.col("u").alias("pu"), F.col("p").alias("pp"))
-            size = SMALL_ROWS + 1 if rows_of(m) > SMALL_ROWS else 0
-            root = skew_lookup(m, "p", up, "pu", max(size, rows_of(m)), "left").select("u", F.coalesce("pp", "p").alias("p"))
+            root = skew_lookup(m, "p", up, "pu", bound, "left").select("u", F.coalesce("pp", "p").alias("p"))
     if root is None:
         return ids.select("id", F.col("id").alias("group_id"))
     return ids.join(root, ids["id"] == root["u"], "left").select("id", F.coalesce("p", "id").alias("group_id"))

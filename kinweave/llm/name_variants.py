@@ -291,8 +291,10 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
         profiles = shelf.put(per.groupBy("c", "kind", "own", "first", "pre", "gen", "trade").agg(F.count(F.lit(1)).alias("rows")), "profiles")
         full = shelf.put(_full_keys(profiles), "keys")
         sized = profiles.groupBy("c", "own").agg(F.sum("rows").alias("rows"))
-        edges = _star(full, ["own", "tag"]).unionByName(_initial_edges(profiles, full)).unionByName(_slip_edges(full.join(sized, ["c", "own"]), rare))
-        edges = shelf.put(edges.distinct(), "edges")
+        same = shelf.put(_star(full, ["own", "tag"]), "same")
+        initials = shelf.put(_initial_edges(profiles, full), "initials")
+        slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare), "slips")
+        edges = shelf.put(same.unionByName(initials).unionByName(slips).distinct(), "edges")
         if edges.isEmpty():
             break
         merged = connected_components(edges, "a", "b", None, shelf).select(F.col("id").alias("k"), F.col("group_id").alias("to"))

@@ -92,11 +92,12 @@ def balanced_bins(weights: DataFrame, shelf: Shelf, bins: int = 400, fan_in: int
     state, steps = ordered.select("tuple", "slot", "weight"), []
     tuples = (rows_of(ordered) + bins - 1) // bins
     while tuples > 1:
-        wide = state.withColumn("width", F.lit(bins)).withColumn("next", F.floor(F.col("tuple") / fan_in).cast("long"))
+        tuples = (tuples + fan_in - 1) // fan_in
+        # dealt out, so that every task has heavy tuples and light ones to even them out with
+        wide = state.withColumn("width", F.lit(bins)).withColumn("next", F.col("tuple") % F.lit(tuples))
         step = shelf.put(wide.groupBy("next").applyInPandas(_difference, "tuple long, slot long, weight long, next long, new_slot long"), "step")
         steps.append(step)
         state = step.groupBy(F.col("next").alias("tuple"), F.col("new_slot").alias("slot")).agg(F.sum("weight").alias("weight"))
-        tuples = (tuples + fan_in - 1) // fan_in
     totals = [(int(r[0]), int(r[1])) for r in state.groupBy("slot").agg(F.sum("weight")).collect()]  # at most `bins` rows
     where = None
     for step in reversed(steps):

@@ -57,22 +57,25 @@ def _init(sizes: list[int], rng) -> list[np.ndarray]:
     return out
 
 
-def _forward(layers: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+def _forward(layers: list[np.ndarray], x: np.ndarray, logistic: bool = True) -> list[np.ndarray]:
+    """Activations of all layers; the last is logistic (record net) or linear (field nets)."""
     acts = [x]
     for k in range(0, len(layers), 2):
         z = acts[-1] @ layers[k] + layers[k + 1]
-        acts.append(np.maximum(z, 0) if k + 2 < len(layers) else 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        if k + 2 < len(layers):
+            z = np.where(z > 0, z, 0.05 * z)
+        acts.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) if logistic and k + 2 == len(layers) else z)
     return acts
 
 
-def _backward(layers: list[np.ndarray], acts: list[np.ndarray], grad: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def _backward(layers: list[np.ndarray], acts: list[np.ndarray], grad: np.ndarray, logistic: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
     out: list[np.ndarray] = [None] * len(layers)
-    g = grad * acts[-1] * (1 - acts[-1])
+    g = grad * acts[-1] * (1 - acts[-1]) if logistic else grad
     for k in range(len(layers) - 2, -1, -2):
         out[k], out[k + 1] = acts[k // 2].T @ g, g.sum(0)
         g = g @ layers[k].T
         if k:
-            g = g * (acts[k // 2] > 0)
+            g = g * np.where(acts[k // 2] > 0, 1.0, 0.05)
     return out, g
 
 
@@ -112,7 +115,7 @@ class NetworkModel(MatchingModel):
 
     @staticmethod
     def _run(nets, groups, x):
-        acts = [_forward(net, x[:, g]) for net, g in zip(nets, groups)]
+        acts = [_forward(net, 2 * x[:, g] - 1, False) for net, g in zip(nets, groups)]
         return acts, _forward(nets[-1], np.concatenate([a[-1] for a in acts], axis=1))
 
     def _totals(self, data: DataFrame) -> np.ndarray:
@@ -146,7 +149,7 @@ class NetworkModel(MatchingModel):
                         for w, g in zip(total[-1], g_rec):
                             w += g
                         for k, a in enumerate(acts):
-                            g_f, _ = _backward(nets[k], a, back[:, [k]])
+                            g_f, _ = _backward(nets[k], a, back[:, [k]], False)
                             for w, g in zip(total[k], g_f):
                                 w += g
                     flat = np.concatenate([w.ravel() for net in total for w in net])

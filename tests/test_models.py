@@ -63,7 +63,7 @@ def test_selection(pairs):
 
 
 def test_network(spark, pairs, tmp_path):
-    m = network.NetworkModel({"a": ["levenshtein", "cosine"], "b": ["levenshtein"]}, width_scale=3, depth=1, record_scale=3, record_depth=1)
+    m = network.NetworkModel({"a": ["levenshtein", "cosine"], "b": ["levenshtein"]}, width_scale=6, depth=1, record_scale=6, record_depth=1)
     m.fit(pairs, epochs=12, peak=0.1, loss="binary_crossentropy")
     assert len(m.history) == 12 and m.evaluate(pairs)["F1"] > 0.7
     again = network.load_network(m.save(str(tmp_path), "net"))

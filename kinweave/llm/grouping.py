@@ -48,54 +48,93 @@ def torn_groups(panel: DataFrame, pairs: DataFrame, split: str = "old_split", ke
     return skew_lookup(placed, "group_id", torn, "g", rows_of(placed)).select("id").distinct()
 
 
-def _difference(pdf):
-    """Largest differencing over the tuples of one task: the two tuples of widest spread are
-    joined, heavy slots of one with light slots of the other, until one tuple is left."""
+def differenced(rows: list) -> list:
+    """Largest differencing over rows of slot weights: where each slot of each row ends.
+
+    The two rows of widest spread are joined, heavy slots of one with light
+    slots of the other, until one row is left; the places are then read off the
+    tree of joins from its root.
+    """
     import numpy as np
-    import pandas as pd
-
-    width = int(pdf["width"].iloc[0])
-    tuples = []
-    for t, part in pdf.groupby("tuple", sort=True):
-        w = np.zeros(width, dtype=np.int64)
-        w[part["slot"].to_numpy()] = part["weight"].to_numpy()
-        tuples.append((int(t), w))
-    heap, n = [], 0
-    for t, w in tuples:  # the members' slots stand beside the sums
-        heapq.heappush(heap, (-int(w.max() - w.min()), n, w, [(t, np.arange(width))]))
-        n += 1
+
+    width = len(rows[0])
+    heap = [(-int(w.max() - w.min()), n, w, n) for n, w in enumerate(rows)]
+    heapq.heapify(heap)
+    joins, n = {}, len(rows)
     while len(heap) > 1:
-        _, _, wa, ma = heapq.heappop(heap)
-        _, _, wb, mb = heapq.heappop(heap)
+        _, _, wa, a = heapq.heappop(heap)
+        _, _, wb, b = heapq.heappop(heap)
         oa, ob = np.argsort(-wa, kind="stable"), np.argsort(wb, kind="stable")
-        w = wa[oa] + wb[ob]
         ra, rb = np.empty(width, np.int64), np.empty(width, np.int64)
         ra[oa], rb[ob] = np.arange(width), np.arange(width)
-        members = [(t, ra[s]) for t, s in ma] + [(t, rb[s]) for t, s in mb]
-        heapq.heappush(heap, (-int(w.max() - w.min()), n, w, members))
+        w = wa[oa] + wb[ob]
+        joins[n] = ((a, ra), (b, rb))
+        heapq.heappush(heap, (-int(w.max() - w.min()), n, w, n))
         n += 1
-    members = heap[0][3]
-    out = pd.DataFrame({"tuple": np.repeat([t for t, _ in members], width), "slot": np.tile(np.arange(width), len(members)), "new_slot": np.concatenate([s for _, s in members])})
-    return out.merge(pdf[["tuple", "slot", "weight", "next"]], on=["tuple", "slot"])[["tuple", "slot", "weight", "next", "new_slot"]]
+    ends, todo = [None] * len(rows), [(heap[0][3], np.arange(width))]
+    while todo:
+        k, at = todo.pop()
+        if k < len(rows):
+            ends[k] = at
+        else:
+            todo += [(c, at[r]) for c, r in joins[k]]
+    return ends
+
+
+def _join_items(bins: int):
+    """(task, key, weight) rows of one task to their slots; every key starts as a row of its own."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        rows = np.zeros((len(pdf), bins), np.int64)
+        rows[:, 0] = pdf["weight"].to_numpy()
+        ends = differenced(list(rows))
+        return pd.DataFrame({"task": pdf["task"], "key": pdf["key"], "weight": pdf["weight"], "slot": [int(e[0]) for e in ends]})
+
+    return run
+
+
+def _join_rows(bins: int):
+    """(tuple, slot, weight, next) rows of one task to the slots they get in the joined tuple."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        names = sorted(pdf["tuple"].unique())
+        at = {t: k for k, t in enumerate(names)}
+        rows = np.zeros((len(names), bins), np.int64)
+        rows[pdf["tuple"].map(at).to_numpy(), pdf["slot"].to_numpy()] = pdf["weight"].to_numpy()
+        ends = np.concatenate(differenced(list(rows)))
+        out = pd.DataFrame({"tuple": np.repeat(names, bins), "slot": np.tile(np.arange(bins), len(names)), "weight": rows.ravel(), "new_slot": ends})
+        out["next"] = int(pdf["next"].iloc[0])
+        return out[["tuple", "slot", "weight", "next", "new_slot"]]
+
+    return run
 
 
-def balanced_bins(weights: DataFrame, shelf: Shelf, bins: int = 400, fan_in: int = 32) -> tuple[DataFrame, list[tuple[int, int]]]:
+def balanced_bins(weights: DataFrame, shelf: Shelf, bins: int = 400, fan_in: int = 32, task_keys: int = 4_000) -> tuple[DataFrame, list[tuple[int, int]]]:
     """(key, bin) for rows (key, weight), and the (bin, weight) list of at most ``bins`` bins.
 
-    Keys in descending weight are cut into tuples of ``bins`` slots; tasks join
-    ``fan_in`` tuples each by largest differencing, and the joined tuples meet
-    again, until one tuple is left.  A task holds bins x fan_in numbers.
+    Keys in descending weight are dealt over tasks of at most ``task_keys``
+    keys, so that each has heavy keys and light ones to even them out with; a
+    task joins its keys into one row of ``bins`` slots by largest differencing.
+    The rows of ``fan_in`` tasks meet again in the same way, until one is left.
     """
     ship(weights.sparkSession)
-    ordered = global_positions(weights, [F.col("weight").desc(), F.col("key")], shelf, "weights")
-    ordered = shelf.put(ordered.select("key", F.floor(F.col("pos") / bins).cast("long").alias("tuple"), (F.col("pos") % bins).alias("slot"), F.col("weight").cast("long").alias("weight")), "slots")
-    state, steps = ordered.select("tuple", "slot", "weight"), []
-    tuples = (rows_of(ordered) + bins - 1) // bins
+    ordered = global_positions(weights.select("key", F.col("weight").cast("long").alias("weight")), [F.col("weight").desc(), F.col("key")], shelf, "weights")
+    n = rows_of(ordered)
+    tuples = max(1, (n + task_keys - 1) // task_keys)
+    dealt = ordered.select((F.col("pos") % tuples).alias("task"), "key", "weight")
+    kind = weights.schema["key"].dataType.simpleString()
+    ordered = shelf.put(dealt.groupBy("task").applyInPandas(_join_items(bins), f"task long, key {kind}, weight long, slot long"), "slots")
+    state, steps = ordered.groupBy(F.col("task").alias("tuple"), "slot").agg(F.sum("weight").alias("weight")), []
     while tuples > 1:
         tuples = (tuples + fan_in - 1) // fan_in
-        # dealt out, so that every task has heavy tuples and light ones to even them out with
-        wide = state.withColumn("width", F.lit(bins)).withColumn("next", F.col("tuple") % F.lit(tuples))
-        step = shelf.put(wide.groupBy("next").applyInPandas(_difference, "tuple long, slot long, weight long, next long, new_slot long"), "step")
+        wide = state.withColumn("next", F.col("tuple") % F.lit(tuples))
+        step = shelf.put(wide.groupBy("next").applyInPandas(_join_rows(bins), "tuple long, slot long, weight long, next long, new_slot long"), "step")
         steps.append(step)
         state = step.groupBy(F.col("next").alias("tuple"), F.col("new_slot").alias("slot")).agg(F.sum("weight").alias("weight"))
     totals = [(int(r[0]), int(r[1])) for r in state.groupBy("slot").agg(F.sum("weight")).collect()]  # at most `bins` rows
@@ -109,7 +148,7 @@ def balanced_bins(weights: DataFrame, shelf: Shelf, bins: int = 400, fan_in: int
             where = here.join(up, ["next", "new_slot"]).select("tuple", "slot", "bin")
     if where is None:
         return ordered.select("key", F.col("slot").alias("bin")), totals
-    return ordered.join(where, ["tuple", "slot"]).select("key", "bin"), totals
+    return ordered.join(where, (F.col("task") == F.col("tuple")) & (ordered["slot"] == where["slot"])).select("key", "bin"), totals
 
 
 def share_out(totals: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, str]:

@@ -70,13 +70,13 @@ def test_split_keeps_groups_together(spark):
 def test_bins_are_even(spark):
     rng = random.Random(3)
     w = [(k, rng.choice([1, 1, 1, 2, 5, 17, 60])) for k in range(2000)]
-    placed, totals = grouping.balanced_bins(spark.createDataFrame(w, "key long, weight long"), Shelf(spark, "t"), bins=10, fan_in=4)
+    placed, totals = grouping.balanced_bins(spark.createDataFrame(w, "key long, weight long"), Shelf(spark, "t"), bins=10, fan_in=4, task_keys=150)
     assert placed.count() == 2000 and sum(x for _, x in totals) == sum(x for _, x in w)
     got = Counter()
     weight = dict(w)
     for r in placed.collect():
         got[r["bin"]] += weight[r["key"]]
-    assert got == Counter(dict(totals)) and max(got.values()) - min(got.values()) <= 2
+    assert got == Counter({b: x for b, x in totals if x}) and max(got.values()) - min(got.values()) <= 2
 
 
 def test_torn_groups(spark):

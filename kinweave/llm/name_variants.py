@@ -21,12 +21,18 @@ from kinweave.runtime import Shelf, rows_of, ship, skew_lookup
 
 #: Given names with their short and pet forms. Fixed values; another list may be passed.
 GIVEN_NAMES: dict[str, tuple[str, ...]] = {
-    "adolf": (), "albert": (), "albrecht": (), "alfred": (), "anna": ("anne", "anni"), "anton": ("toni",), "arthur": (), "august": (), "auguste": (), "bernhard": ("bernd",), "berta": (), "charlotte": ("lotte",),
-    "christian": ("chris",), "clara": ("klara",), "dietrich": ("dieter",), "dorothea": ("thea", "dora"), "eduard": ("edi",), "elisabeth": ("else", "liesel"), "emil": (), "emma": (), "ernst": (), "ferdinand": (), "franz": (),
-    "friederike": ("rike",), "friedrich": ("fritz",), "georg": ("jörg",), "gottlieb": (), "gustav": (), "heinrich": ("heinz",), "helene": (), "henriette": ("jette",), "hermann": (), "hugo": (), "jakob": (), "johann": ("hans",),
-    "johanna": (), "josef": ("sepp", "joseph"), "julius": (), "karl": ("carl",), "katharina": ("käthe", "kaethe"), "konrad": (), "leopold": (), "louise": ("luise",), "ludwig": ("lutz",), "margarethe": ("grete",), "maria": (), "martha": (),
-    "maximilian": ("max",), "moritz": (), "nikolaus": ("klaus",), "oskar": (), "otto": (), "paul": (), "pauline": ("paula",), "peter": (), "philipp": (), "quirin": (), "richard": (), "robert": (), "rudolf": ("rudi",), "siegfried": (),
-    "sophie": ("fieke",), "theodor": ("theo",), "therese": ("resi",), "ulrich": ("uli",), "viktor": (), "walter": (), "wilhelm": ("willy", "willi"), "wilhelmine": ("minna",), "zita": (),
+    "adele": (), "adolf": (), "agnes": (), "albert": (), "albrecht": (), "alexander": ("alex",), "alfred": (), "alma": (), "alois": (), "amalie": ("malchen",), "andreas": ("andres",), "anna": ("anne", "anni", "änne"), "anton": ("toni",),
+    "antonie": (), "arnold": (), "arthur": (), "august": (), "auguste": ("guste",), "bernhard": ("bernd",), "bertha": ("berta",), "bruno": (), "charlotte": ("lotte",), "christian": ("chris",), "christine": ("stine",), "clemens": ("klemens",),
+    "daniel": (), "david": (), "dietrich": ("dieter",), "dorothea": ("thea", "dora"), "edmund": (), "eduard": ("edi",), "eleonore": ("lore",), "elisabeth": ("else", "liesel", "lisbeth", "elise"), "emil": (), "emilie": (), "emma": (), "erich": (),
+    "erna": (), "ernst": (), "eugen": (), "eva": (), "felix": (), "ferdinand": (), "franz": (), "franziska": ("fanny", "franzi"), "frieda": (), "friederike": ("rike",), "friedrich": ("fritz",), "georg": ("jörg", "schorsch"), "gerhard": ("gerd",),
+    "gertrud": ("trude",), "gottfried": (), "gottlieb": (), "gregor": (), "gustav": (), "hedwig": ("hede",), "heinrich": ("heinz", "heiner"), "helene": ("lene",), "henriette": ("jette",), "hermann": (), "hermine": (), "hubert": (), "hugo": (),
+    "ida": (), "ignaz": (), "irma": (), "jakob": (), "joachim": ("jochen", "achim"), "johann": ("hans", "johannes"), "johanna": ("hanna", "hanne"), "josef": ("sepp", "joseph", "jupp"), "josephine": ("fine",), "julie": (), "julius": (),
+    "karl": ("carl",), "karoline": ("caroline", "lina"), "kaspar": (), "katharina": ("käthe", "kaethe", "kathi", "trine"), "klara": ("clara",), "konrad": ("kurt",), "laura": (), "leo": (), "leonhard": (), "leopold": ("poldi",), "lorenz": ("lenz",),
+    "luise": ("louise",), "ludwig": ("lutz",), "magdalena": ("magda", "leni"), "margarethe": ("grete", "gretchen"), "maria": ("marie", "mizzi"), "martha": (), "martin": (), "mathilde": ("tilde", "thilde"), "matthias": (), "maximilian": ("max",),
+    "michael": ("michel",), "moritz": (), "nikolaus": ("klaus",), "olga": (), "oskar": (), "oswald": (), "ottilie": ("tilly",), "otto": (), "paul": (), "pauline": ("paula",), "peter": (), "philipp": (), "quirin": (), "reinhard": (), "reinhold": (),
+    "richard": (), "robert": (), "rosa": (), "rosine": (), "rudolf": ("rudi",), "samuel": (), "sebastian": ("bastian",), "siegfried": (), "siegmund": (), "simon": (), "sophie": ("fieke",), "stephan": ("steffen",), "theodor": ("theo",),
+    "therese": ("resi",), "thomas": (), "ulrich": ("uli",), "ursula": ("ulla",), "valentin": (), "veronika": ("vroni",), "viktor": (), "viktoria": (), "vinzenz": (), "walter": (), "werner": (), "wilhelm": ("willy", "willi"),
+    "wilhelmine": ("minna", "minchen"), "wolfgang": ("wolf",), "xaver": (), "zita": (),
 }
 
 #: Titles, callings and remarks that name nobody. Fixed values.
@@ -58,8 +64,8 @@ def fold_name(s: str) -> str:
 
 
 def plain_sound(s: str) -> str:
-    """A spelling without what clerks write at will: doubled letters, y/i, ph/f, th/t, ck/k, dt/t."""
-    for a, b in (("ph", "f"), ("th", "t"), ("ck", "k"), ("kh", "ch"), ("dt", "t"), ("y", "i"), ("ie", "i")):
+    """A spelling without what clerks write at will: doubled letters, y/i, ph/f, th/t, ck/k, dt/t; and rn read as m."""
+    for a, b in (("rn", "m"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("kh", "ch"), ("dt", "t"), ("y", "i"), ("ie", "i")):
         s = s.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", s)
 
@@ -90,8 +96,11 @@ class NameReader:
     one; gen is J, S or empty; trade the trade's beginning or empty.
     """
 
-    def __init__(self, given: dict[str, tuple[str, ...]] = GIVEN_NAMES):
+    def __init__(self, given: dict[str, tuple[str, ...]] = GIVEN_NAMES, frequent: tuple[str, ...] = ()):
         self.forms = {fold_name(f): fold_name(n) for n, fs in given.items() for f in (n, *fs)}
+        for t in frequent:  # words so frequent that they can be nothing else
+            if t not in self.forms and self._classify(t)[0] in ("word", "short"):
+                self.forms[t] = t
         self.cache: dict[str, tuple] = {}
 
     def _class(self, t: str) -> tuple[str, str]:
@@ -179,17 +188,27 @@ class NameReader:
 _SPELLING = "id long, kind string, own string, first string, pre string, gen string, trade string"
 
 
-def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None) -> DataFrame:
+def frequent_words(texts: DataFrame, share: float = 0.002, least: int = 30) -> list[str]:
+    """Words of three letters or more in at least ``share`` of the spellings: given names that the list lacks are among
+    them, surnames are far rarer.  A spelling has a few words, so there are at most (words a spelling) / share."""
+    plain = F.translate(F.lower("text"), "äöü", "aou")
+    n = texts.count()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
+    return sorted(r[0] for r in words.groupBy("w").count().filter(F.col("count") >= max(least, share * n)).collect())
+
+
+def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None, shelf: Shelf | None = None) -> DataFrame:
     """Every readable spelling of every id (of repeated ids the latest row), in parts."""
     order = F.col(order_col) if order_col and order_col in names.columns else F.lit(0)
     one = names.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(order.alias("o"), *[F.col(c).cast("string").alias(c) for c in columns]).alias("m"))
     one = one.groupBy("id").agg(F.max("m").alias("m"))
     each = one.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m.{c}") for c in columns]))).alias("text"))
-    each = each.filter(F.length(F.trim("text")) > 0)
+    each = (shelf or Shelf(names.sparkSession, "spellings")).put(each.filter(F.length(F.trim("text")) > 0), "texts")
+    frequent = tuple(frequent_words(each))
     parts = [p.split()[0] for p in _SPELLING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = NameReader()
+        reader = NameReader(frequent=frequent)
         for b in batches:
             out = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := reader.read(t))]
             cols = list(zip(*out)) or [[] for _ in parts]
@@ -249,17 +268,19 @@ def _one_turn(x: str, y: str):
 def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     """Bearers whose surname or own name is a rare slip of another's, with the same given name or trade.
 
-    Blocking by the sorted letters and all ways to leave one out: any turned
+    Only small profiles are slips, whole or not at all, and only the usual
+    spellings of a profile are what others slip from; so no slip ties two large
+    profiles together.  Blocking by the sorted letters and all ways to leave one out: any turned
     letters and one other slip still meet.  Of several neighbours the nearest,
     then the most frequent is taken; equally good neighbours leave it alone.
     """
-    forms = full.groupBy("own", "tag").agg(F.min("c").alias("c"), F.sum("rows").alias("n"))
+    forms = full.groupBy("own", "tag").agg(F.min("c").alias("c"), F.sum("rows").alias("n"), F.max("whole").alias("whole"), F.max("top").alias("top"))
     letters = F.array_join(F.array_sort(F.split("own", "")), "")
     forms = forms.filter(F.length("own") >= 5).withColumn("letters", letters)
     less = F.transform(F.sequence(F.lit(1), F.length("letters")), lambda i: F.concat(F.substring(F.col("letters"), F.lit(1), i - 1), F.substring(F.col("letters"), i + 1, F.lit(100))))
     keyed = forms.withColumn("k", F.explode(F.array_distinct(F.concat(F.array("letters"), less))))
-    a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).filter(F.col("n") <= rare)
-    b = keyed.select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).filter((F.col("n") <= rare) & (F.col("whole") <= 2 * rare))
+    b = keyed.filter(F.col("n") * 3 >= F.col("top")).select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
     met = a.join(b, ["tag", "k"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))))
     met = met.drop("k", "tag").distinct()
     lev = F.levenshtein("x", "y")
@@ -283,7 +304,7 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
     spark = names.sparkSession
     ship(spark)
     shelf = Shelf(spark, "variants")
-    read = shelf.put(spellings(names, id_col, columns, order_col), "spellings")
+    read = shelf.put(spellings(names, id_col, columns, order_col, shelf), "spellings")
     ids = names.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
     label = shelf.put(ids.select("id", F.col("id").alias("c")), "labels")
     for _ in range(max_rounds):
@@ -291,6 +312,8 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
         profiles = shelf.put(per.groupBy("c", "kind", "own", "first", "pre", "gen", "trade").agg(F.count(F.lit(1)).alias("rows")), "profiles")
         full = shelf.put(_full_keys(profiles), "keys")
         sized = profiles.groupBy("c", "own").agg(F.sum("rows").alias("rows"))
+        whole = sized.groupBy("c").agg(F.sum("rows").alias("whole"), F.max("rows").alias("top"))
+        sized = sized.join(whole, "c")
         same = shelf.put(_star(full, ["own", "tag"]), "same")
         initials = shelf.put(_initial_edges(profiles, full), "initials")
         slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare), "slips")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.operators import metrics
+from kinweave.operators.matches import unpack_split
+from kinweave.operators.pairs import id_names, similarity_features, subsample_non_matches
 from kinweave.plans.models import MatchingModel, compact
 from kinweave.runtime import ship
 from kinweave.spec import MatchSpec, feature_name
@@ -29,6 +31,27 @@ def warmup_cosine(step: int, peak: float, warmup: int, total: int, least_ratio:
     return peak * (least_ratio + (1 - least_ratio) * 0.5 * (1 + math.cos(math.pi * at)))
 
 
+#: Reference points and limits of the step-size rules. Fixed values.
+_BATCH, _PARAMETERS, _RATE, _RATE_RANGE, _DECAY, _DECAY_RANGE = 256, 10_000_000, 1e-3, (3e-4, 3e-3), 5e-4, (1e-5, 5e-3)
+
+
+def _clamp(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+def peak_rate(batch: int, positives: float | None = None, parameters: int | None = None) -> float:
+    """Peak learning rate for a batch size: in proportion to it, less with few positives a batch or very many parameters."""
+    few = 1.0 if positives is None else 0.6 + 0.4 * (_clamp(positives, 1.0, 16.0) - 1.0) / 15.0
+    many = 1.0 if parameters is None else 0.8 ** max(0.0, math.log10(max(parameters, 1) / _PARAMETERS))
+    return _clamp(_RATE * batch / _BATCH * few * many, *_RATE_RANGE)
+
+
+def suggested_decay(batch: int, parameters: int, rate: float) -> float:
+    """Weight decay for a batch size, a parameter count and a learning rate; each factor within 0.5 .. 2."""
+    part = lambda ratio, power: _clamp(ratio**power, 0.5, 2.0)
+    return _clamp(_DECAY * part(_BATCH / batch, 1.0) * part(_PARAMETERS / parameters, 0.2) * part(rate / _RATE, 0.5), *_DECAY_RANGE)
+
+
 def layer_sizes(spec: MatchSpec, width_scale: int = 10, depth: int = 2, record_scale: int = 10, record_depth: int = 4) -> tuple[list[list[int]], list[int]]:
     """Layer widths of the field nets (inputs .. 1) and of the record net (fields .. 1), halving from the first."""
 
@@ -125,8 +148,11 @@ class NetworkModel(MatchingModel):
         r = p.agg(F.sum(y * F.col("prediction")), F.sum((1 - y) * F.col("prediction")), F.sum(y * (1 - F.col("prediction"))), F.count(F.lit(1))).first()
         return np.array([float(v or 0) for v in r])
 
-    def fit(self, df: DataFrame, match_col: str = "match", epochs: int = 20, peak: float = 0.02, loss: str | Callable = "soft_f1", alpha: float = 0.95, gamma: float = 1.5, weight_decay: float = 1e-4, warmup: int = 3) -> NetworkModel:
-        """Full-batch AdamW; keeps the weights of the epoch with the best F1 (the first of equals)."""
+    def fit(self, df: DataFrame, match_col: str = "match", epochs: int = 20, peak: float = 0.02, loss: str | Callable = "soft_f1", alpha: float = 0.95, gamma: float = 1.5, weight_decay: float = 1e-4, warmup: int = 3, checkpoints: str | None = None) -> NetworkModel:
+        """Full-batch AdamW; keeps the weights of the epoch with the best F1 (the first of equals).
+
+        With ``checkpoints`` the model of every epoch is written to checkpoints/epoch_NN.
+        """
         if loss not in ("soft_f1", "binary_crossentropy", "focal"):
             raise ValueError("loss must be soft_f1, binary_crossentropy or focal")
         ship(df.sparkSession)
@@ -172,6 +198,8 @@ class NetworkModel(MatchingModel):
                         net[j] = w - rate * (step + weight_decay * w)
                 f1 = metrics.evaluate(self.predict(data), 0.5, "label")["F1"]
                 self.history.append({"f1": f1, "rate": rate})
+                if checkpoints:
+                    self.save(checkpoints, f"epoch_{epoch + 1:02d}")
                 if f1 > best:
                     best, kept = f1, [[w.copy() for w in net] for net in self.nets]
             if kept is not None:
@@ -201,6 +229,37 @@ class NetworkModel(MatchingModel):
         return path
 
 
+def train_network(
+    spec, train, test, *, left_id: str = "id", right_id: str = "id", block_on=None, sims=None, stage1_loss: str = "soft_f1", epochs_1: int = 20, mismatch_share_1: float = 0.01, peak_1: float = 0.05,
+    epochs_2: int = 10, mismatch_share_2: float = 0.1, peak_2: float = 0.01, gamma: float = 2.0, max_alpha: float = 0.9, stage_1: bool = True, stage_2: bool = True, base_dir: str | None = None, name: str = "network", seed: int = 42, **shape,
+) -> tuple[NetworkModel, dict, dict]:
+    """(model, measures on train, measures on test) of a network trained in two stages.
+
+    First on few negatives with ``stage1_loss``, then on more with a focal loss
+    whose alpha balances the classes (at most ``max_alpha``); each stage keeps
+    its best epoch.  Both measures are taken on all pairs.
+    """
+    if not (stage_1 or stage_2):
+        raise ValueError("at least one stage must run")
+    model, keys = NetworkModel(spec, seed=seed, **shape), list(id_names(left_id, right_id))
+    pairs = [similarity_features(s.left, s.right, s.matches, model.spec, left_id, right_id, block_on=block_on, sims=sims).persist() for s in map(unpack_split, (train, test))]
+    s = unpack_split(train)
+    steps = []
+    if stage_1:
+        steps.append((stage1_loss, epochs_1, mismatch_share_1, peak_1, 0.5))
+    if stage_2:
+        steps.append(("focal", epochs_2, mismatch_share_2, peak_2, metrics.alpha_balanced(s.left.count(), s.right.count(), s.matches.count(), mismatch_share_2, max_alpha)))
+    try:
+        for k, (loss, epochs, share, peak, alpha) in enumerate(steps, 1):
+            model.fit(subsample_non_matches(pairs[0], keys, share, seed), epochs=epochs, peak=peak, loss=loss, alpha=alpha, gamma=gamma, warmup=max(1, epochs // 10), checkpoints=f"{base_dir}/{name}/stage_{k}" if base_dir else None)
+        if base_dir:
+            model.save(base_dir, name)
+        return model, model.evaluate(pairs[0]), model.evaluate(pairs[1])
+    finally:
+        for p in pairs:
+            p.unpersist()
+
+
 def load_network(path: str) -> NetworkModel:
     with open(os.path.join(path, "network.json")) as f:
         shape = json.load(f)

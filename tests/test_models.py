@@ -110,6 +110,24 @@ def test_pipeline(spark, tmp_path):
         training.train_pipeline(spark, "demo", {"name": ["levenshtein"]}, (l, r, m), (l, r, m), model_kind="gb")
 
 
+def test_two_stage_network(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(20)]
+    l = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "id long, name string")
+    r = spark.createDataFrame([(k, w[:5] + "x" + w[6:]) for k, w in enumerate(words)], "id long, name string")
+    m = spark.createDataFrame([(k, k) for k in range(20)], "left long, right long")
+    model, train, test = network.train_network({"name": ["levenshtein", "cosine"]}, (l, r, m), (l, r, m), epochs_1=10, epochs_2=2, mismatch_share_1=0.2, mismatch_share_2=0.5, stage1_loss="binary_crossentropy", peak_1=0.1, base_dir=str(tmp_path), width_scale=5, depth=1, record_scale=5, record_depth=1)
+    assert train == test and train["F1"] > 0.6 and len(model.history) == 12
+    assert (tmp_path / "network" / "stage_1" / "epoch_03" / "model" / "weights.npz").exists()
+    with pytest.raises(ValueError):
+        network.train_network({"name": ["levenshtein"]}, (l, r, m), (l, r, m), stage_1=False, stage_2=False)
+
+
+def test_step_sizes():
+    assert network.peak_rate(256) == pytest.approx(1e-3) and network.peak_rate(10**6) == 3e-3 and network.peak_rate(256, 1.0) == pytest.approx(6e-4) and network.peak_rate(256, 16, 10**8) == pytest.approx(8e-4)
+    assert network.suggested_decay(256, 10**7, 1e-3) == pytest.approx(5e-4) and network.suggested_decay(512, 10**7, 4e-3) == pytest.approx(5e-4)
+
+
 def test_batch_size():
     assert training.required_batch_size(346, 346, 346, 0.01, 16) == (72, pytest.approx(16.1798, abs=1e-4))
     assert training.required_batch_size(346, 346, 346, 0.1, 8) == (284, pytest.approx(8.0))

@@ -172,7 +172,7 @@ def sim_commonness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _within(a: str, b: str, limit: str) -> str:
-    return f"CASE WHEN {a} IS NULL OR isnan({a}) OR {b} IS NULL OR isnan({b}) THEN 0.0 WHEN abs({a} - {b}) <= {limit} THEN 1.0 ELSE 0.0 END"
+    return f"CAST(CASE WHEN {a} IS NULL OR isnan({a}) OR {b} IS NULL OR isnan({b}) THEN 0.0 WHEN abs({a} - {b}) <= {limit} THEN 1.0 ELSE 0.0 END AS DOUBLE)"
 
 
 @query(f"""WITH l AS (SELECT id, any_value(lat) AS lat, any_value(lon) AS lon, any_value(industry) AS industry FROM companies_left GROUP BY id), r AS (SELECT id, any_value(lat_noise) AS lat, any_value(lon_noise) AS lon, any_value(industry) AS industry FROM companies_right GROUP BY id)

@@ -47,8 +47,10 @@ def threshold_curve(scored: DataFrame, label: str = "match", prediction: str = "
     """Measures at the thresholds 1/steps .. (steps-1)/steps from one pass: scores are counted by bucket."""
     yes = F.coalesce(F.col(label) == 1, F.lit(False)).cast("long")
     p = F.col(prediction)
-    bucket = F.aggregate(F.array(*[F.lit(i / steps) for i in range(1, steps)]), F.lit(0), lambda acc, t: acc + F.when(p >= t, 1).otherwise(0))
+    guess = F.floor(p * steps)
     # the comparison itself decides at a threshold, so that i/steps on either side is the same number
+    exact = guess + F.when(p >= (guess + 1) / float(steps), 1).when(p < guess / float(steps), -1).otherwise(0)
+    bucket = F.coalesce(F.least(F.greatest(exact, F.lit(0)), F.lit(steps - 1)), F.lit(0)).cast("int")
     by = scored.select(bucket.alias("b"), yes.alias("y")).groupBy("b").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     grid = scored.sparkSession.range(0, steps).select(F.col("id").cast("int").alias("b"))
     full = grid.join(by, "b", "left").fillna(0, ["pos", "neg"])

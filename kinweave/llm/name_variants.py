@@ -98,10 +98,38 @@ class NameReader:
 
     def __init__(self, given: dict[str, tuple[str, ...]] = GIVEN_NAMES, frequent: tuple[str, ...] = ()):
         self.forms = {fold_name(f): fold_name(n) for n, fs in given.items() for f in (n, *fs)}
-        for t in frequent:  # words so frequent that they can be nothing else
-            if t not in self.forms and self._classify(t)[0] in ("word", "short"):
-                self.forms[t] = t
+        self.learned = {t for t in frequent if not self._begins(t) and self._classify(t)[0] in ("word", "short")}
+        self.forms |= {t: t for t in self.learned}
         self.cache: dict[str, tuple] = {}
+        self.slips: dict[str, str] = {}
+
+    def _begins(self, t: str) -> bool:
+        return any(f.startswith(t) for f in self.forms)
+
+    def _given_slip(self, w: str) -> str:
+        """The given name that a word is a slip of, or empty."""
+        got = self.slips.get(w)
+        if got is None:
+            hit = [n for f, n in self.forms.items() if len(f) >= 4 and f[0] in w[:2] and near(w, f, 1 if len(f) < 7 else 2)]
+            got = self.slips[w] = min(hit, key=lambda n: (not near(w, n, 1), n)) if hit else ""
+            if len(self.slips) > 200_000:
+                self.slips.clear()
+        return got
+
+    def _shorts(self, seen: list[tuple[str, str, str]]) -> list[str]:
+        """Letters and short words that may shorten a given name."""
+        return [t for t, k, _ in seen if len(t) <= 3 and k in ("short", "small", "part") and t not in ("von", "van", "der", "zu", "und") and self._begins(t)]
+
+    def company(self, text: str) -> list[tuple[str, str]]:
+        """(word, beside) of the words of a person's spelling that may be surnames or unlisted given names: beside each
+        other where no given name or initial is told, beside nothing where one is or where the word stands alone."""
+        seen = [(t, *self._class(t)) for t in re.findall(r"[a-z]+", fold_name(text))]
+        if any(k in ("legal", "trade") for _, k, _ in seen):
+            return []
+        loose = {t for t, k, _ in seen if k in ("word", "short") and len(t) >= 3 and not self._begins(t)}
+        free = sorted(t for t in loose if not self._given_slip(t))
+        told = len(free) < len(loose) or any(k == "first" for _, k, _ in seen) or any(t not in ("v", "d", "u") for t in self._shorts(seen))
+        return [(t, "") for t in free] if told or len(free) < 2 else [(t, b) for t in free for b in free if b != t]
 
     def _class(self, t: str) -> tuple[str, str]:
         got = self.cache.get(t)
@@ -164,21 +192,21 @@ class NameReader:
             return "F", plain_sound(own), "", "", "", trade
         firsts = [v for _, k, v in seen if k == "first"]
         first, pre = (firsts[0] if firsts else ""), ""
+        if not words and (learned := [t for t, k, _ in seen if k == "first" and t in self.learned]):  # somebody's surname after all
+            words = [max(learned, key=len)]
+            first = next((v for t, k, v in seen if k == "first" and t != words[0]), "")
         if not first and len(words) >= 2:  # a slip in the given name
             for w in words:
-                hit = [n for f, n in self.forms.items() if len(f) >= 4 and f[0] in w[:2] and near(w, f, 1 if len(f) < 7 else 2)]
-                if hit:
-                    first = min(hit, key=lambda n: (not near(w, n, 1), n))
+                if first := self._given_slip(w):
                     words = [x for x in words if x != w]
                     break
         if not first:
-            begins = lambda t: any(f.startswith(t) for f in self.forms)
-            shorts = [t for t, k, _ in seen if len(t) <= 3 and k in ("short", "small", "part") and t not in ("von", "van", "der", "zu", "und") and begins(t)]
+            shorts = self._shorts(seen)
             if gen:  # "d." is part of how the generation is written
                 shorts = [t for t in shorts if t != "d"]
             pre = next((t for t in shorts if t not in ("v", "d", "u")), shorts[0] if shorts else "")
             if not pre and len(words) >= 2:
-                pre = next((w for w in words if len(w) <= 4 and begins(w)), "")
+                pre = next((w for w in words if len(w) <= 4 and self._begins(w)), "")
                 words = [w for w in words if w != pre]
         if not words:
             return None
@@ -188,13 +216,26 @@ class NameReader:
 _SPELLING = "id long, kind string, own string, first string, pre string, gen string, trade string"
 
 
-def frequent_words(texts: DataFrame, share: float = 0.002, least: int = 30) -> list[str]:
-    """Words of three letters or more in at least ``share`` of the spellings: given names that the list lacks are among
-    them, surnames are far rarer.  A spelling has a few words, so there are at most (words a spelling) / share."""
-    plain = F.translate(F.lower("text"), "äöü", "aou")
-    n = texts.count()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
-    return sorted(r[0] for r in words.groupBy("w").count().filter(F.col("count") >= max(least, share * n)).collect())
+def unlisted_given(texts: DataFrame, surnames: int = 10) -> list[str]:
+    """Given names that the list lacks, by the company they keep: words that mostly stand beside another word where a
+    given name is still open, beside at least ``surnames`` different ones with less company than themselves.  Slips of
+    the word's usual companion are no company, so one bearer with very many rows makes no given name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = NameReader()
+        for b in batches:
+            out = [x for t in b.column(0).to_pylist() for x in reader.company(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["w", "beside"])
+
+    met = texts.select("text").mapInArrow(run, "w string, beside string").groupBy("w", "beside").agg(F.count(F.lit(1)).alias("n"))
+    by = lambda c: F.col("beside") != "" if c else F.col("beside") == ""
+    words = met.groupBy("w").agg(F.sum(F.when(by(True), F.col("n")).otherwise(0)).alias("open"), F.sum(F.when(by(False), F.col("n")).otherwise(0)).alias("told"), F.max(F.when(by(True), F.struct("n", "beside"))).getField("beside").alias("usual"))
+    words = words.filter(F.col("open") > 0)
+    own = met.filter(by(True)).join(words, "w").filter((F.col("beside") == F.col("usual")) | (F.levenshtein("beside", "usual") > 3)).select("w", "beside", "open", "told")
+    size = own.groupBy("w").agg(F.count(F.lit(1)).alias("company"), F.max("open").alias("open"), F.max("told").alias("told"))
+    likely = size.filter((F.col("company") >= surnames) & (F.col("open") > F.col("told"))).select("w", "company")
+    less = own.join(likely, "w").join(size.select(F.col("w").alias("beside"), F.col("company").alias("theirs")), "beside").filter(F.col("theirs") < F.col("company"))
+    return sorted(r[0] for r in less.groupBy("w").count().filter(F.col("count") >= surnames).collect())
 
 
 def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None, shelf: Shelf | None = None) -> DataFrame:
@@ -204,7 +245,7 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
     one = one.groupBy("id").agg(F.max("m").alias("m"))
     each = one.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m.{c}") for c in columns]))).alias("text"))
     each = (shelf or Shelf(names.sparkSession, "spellings")).put(each.filter(F.length(F.trim("text")) > 0), "texts")
-    frequent = tuple(frequent_words(each))
+    frequent = tuple(unlisted_given(each))
     parts = [p.split()[0] for p in _SPELLING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

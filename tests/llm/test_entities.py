@@ -108,3 +108,12 @@ def test_reader(text, parts):
 
 def test_near():
     assert name_variants.near("abcd", "abdc", 1) and name_variants.near("abcd", "abc", 1) and not name_variants.near("abcd", "badc", 1) and name_variants.near("abcd", "badc", 2)
+
+
+def test_given_names_by_company(spark):
+    reader = name_variants.NameReader(frequent=("the", "ewald"))
+    assert reader.read("The. Klimrangau") == ("P", "klimrangau", "", "the", "", "") and reader.read("Ewald Klimrangau")[1:3] == ("klimrangau", "ewald")
+    assert reader.read("J. Ewald") == ("P", "ewald", "", "j", "", "")  # a surname where no other word is left
+    surnames = ["Tolmander", "Kimpending", "Surgakulf", "Drenportow", "Flurroling", "Klurdunger", "Nalfermann", "Hurpurtow", "Genmorter", "Zimpindow", "Bolgarat"]
+    texts = [f"Ewald {s}" for s in surnames] + [f"The. {s}" for s in surnames] + ["Johann Rustepol"] * 400 + [f"{g} Rustepol" for g in ("Ottokar", "Xanthippe", "Ottokra")] + ["J. Rustepol"] * 40
+    assert name_variants.unlisted_given(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)) == ["ewald"]

@@ -74,7 +74,7 @@ def near(a: str, b: str, most: int) -> bool:
     """Whether two words are at most ``most`` slips (one letter more, less, other, or two turned round) apart."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or max(len(set(a) - set(b)), len(set(b) - set(a))) > most:
         return False
     before2, before = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -101,20 +101,19 @@ class NameReader:
         self.learned = {t for t in frequent if not self._begins(t) and self._classify(t)[0] in ("word", "short")}
         self.forms |= {t: t for t in self.learned}
         self.cache: dict[str, tuple] = {}
-        self.slips: dict[str, str] = {}
+        self.slips: dict[str, tuple[bool, bool, str] | None] = {}
 
     def _begins(self, t: str) -> bool:
         return any(f.startswith(t) for f in self.forms)
 
-    def _given_slip(self, w: str) -> str:
-        """The given name that a word is a slip of, or empty."""
-        got = self.slips.get(w)
-        if got is None:
-            hit = [n for f, n in self.forms.items() if len(f) >= 4 and f[0] in w[:2] and near(w, f, 1 if len(f) < 7 else 2)]
-            got = self.slips[w] = min(hit, key=lambda n: (not near(w, n, 1), n)) if hit else ""
+    def _given_slip(self, w: str) -> tuple[bool, bool, str] | None:
+        """The given name that a word is a slip of, after whether two slips apart and whether the first letter is one."""
+        if w not in self.slips:
             if len(self.slips) > 200_000:
                 self.slips.clear()
-        return got
+            hit = [(not near(w, f, 1), f[0] not in w[:2], n) for f, n in self.forms.items() if len(f) >= 4 and near(w, f, 1 if len(f) < 7 else 2)]
+            self.slips[w] = min(hit, default=None)
+        return self.slips[w]
 
     def _shorts(self, seen: list[tuple[str, str, str]]) -> list[str]:
         """Letters and short words that may shorten a given name."""
@@ -155,17 +154,16 @@ class NameReader:
         for p in TRADES:
             if t == p or (len(p) >= 4 and t.startswith(p) and (len(t) <= len(p) + 3 or any(w.startswith(t) or near(t, w, 3) for w in _TRADE_WORDS if w.startswith(p)))):
                 return "trade", "elek" if p == "el" else p
-        if len(t) >= 5:  # slips, beyond the first letter
-            for w, p in _TRADE_WORDS.items():
-                if w[0] not in t[:2]:
-                    continue
-                if near(t, w, 2 if len(w) >= 8 else 1) or near(t, w[: len(t)], 1):
-                    return "trade", p
+        if len(t) >= 5:  # slips, the first letter included
+            for most in (0, 1, 2):  # the nearest trade, of equally near ones that with the same first letter
+                hit = [w for w in _TRADE_WORDS if near(t, w, min(most, 2 if len(w) >= 8 else 1)) or near(t, w[: len(t)], min(most, 1))]
+                if hit:
+                    return "trade", _TRADE_WORDS[min(hit, key=lambda w: w[0] not in t[:2])]
             for w in ("aktiengesellschaft", "gesellschaft", "kommanditgesellschaft", "genossenschaft", "eingetragene", "beschrankter", "haftung", "aktien", "actien"):
-                if w[0] in t[:2] and near(t, w, 2 if len(w) >= 8 else 1):
+                if near(t, w, 2 if len(w) >= 8 else 1):
                     return "legal", w
             for w in ("kommerzienrat", "justizrat", "rentner", "rentier", "bankier", "direktor", "ebenda"):
-                if w[0] in t[:2] and near(t, w, 2 if len(w) >= 8 else 1):
+                if near(t, w, 2 if len(w) >= 8 else 1):
                     return "title", w
             for w, g in (("jungere", "J"), ("senior", "S"), ("altere", "S")):
                 if near(t, w, 1):
@@ -196,10 +194,10 @@ class NameReader:
             words = [max(learned, key=len)]
             first = next((v for t, k, v in seen if k == "first" and t != words[0]), "")
         if not first and len(words) >= 2:  # a slip in the given name
-            for w in words:
-                if first := self._given_slip(w):
-                    words = [x for x in words if x != w]
-                    break
+            hit = min(((s, k) for k, w in enumerate(words) if (s := self._given_slip(w))), default=None)
+            if hit:
+                first = hit[0][2]
+                words = [x for x in words if x != words[hit[1]]]
         if not first:
             shorts = self._shorts(seen)
             if gen:  # "d." is part of how the generation is written
@@ -327,7 +325,7 @@ def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     lev = F.levenshtein("x", "y")
     turned = F.array_join(F.array_sort(F.split("x", "")), "") == F.array_join(F.array_sort(F.split("y", "")), "")
     onset = F.substring("x", 1, 1) == F.substring("y", 1, 1)
-    slips = F.when((lev == 1) & onset, 1).when(turned & (lev == 2), 1).when(turned & (lev <= 4) & onset & (F.length("x") >= 8), 2).when((lev <= 3) & onset & (F.length("x") >= 9) & (F.col("ny") >= 3) & _one_turn("x", "y"), 2)
+    slips = F.when((lev == 1) & onset, 1).when(lev == 1, 2).when(turned & (lev == 2), 1).when(turned & (lev <= 4) & onset & (F.length("x") >= 8), 2).when((lev <= 3) & onset & (F.length("x") >= 9) & (F.col("ny") >= 3) & _one_turn("x", "y"), 2)
     met = met.withColumn("slips", slips).filter(F.col("slips").isNotNull())
     best = met.groupBy("cx", "x").agg(F.min(F.struct("slips", F.negative("ny").alias("m"))).alias("m"))
     first = met.join(best, ["cx", "x"]).filter((F.col("slips") == F.col("m.slips")) & (F.col("ny") == -F.col("m.m")))

@@ -117,3 +117,21 @@ def test_given_names_by_company(spark):
     surnames = ["Tolmander", "Kimpending", "Surgakulf", "Drenportow", "Flurroling", "Klurdunger", "Nalfermann", "Hurpurtow", "Genmorter", "Zimpindow", "Bolgarat"]
     texts = [f"Ewald {s}" for s in surnames] + [f"The. {s}" for s in surnames] + ["Johann Rustepol"] * 400 + [f"{g} Rustepol" for g in ("Ottokar", "Xanthippe", "Ottokra")] + ["J. Rustepol"] * 40
     assert name_variants.unlisted_given(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)) == ["ewald"]
+
+
+@pytest.mark.parametrize("text,parts", [
+    ("Lurdenbach, öbelfabrik", ("F", "lurdenbach", "mobelf")), ("Prurronulf, sorzellanfabrik", ("F", "pruronulf", "porz")), ("Krenbolow'sche andelsbank", ("F", "krenbolow", "handelsb")), ("Weberei Flenambach", ("F", "flenambach", "web")),
+    ("Flurroling tktiengesellschaft", ("F", "fluroling", "")),
+])
+def test_first_letter_slips_of_words(text, parts):
+    got = name_variants.NameReader().read(text)
+    assert (got[0], got[1], got[5]) == parts
+
+
+def slip_edges(spark, forms):
+    d = spark.createDataFrame([(c, own, "P|johann|", n, n, n) for c, own, n in forms], "c long, own string, tag string, rows long, whole long, top long")
+    return rows(name_variants._slip_edges(d, 2), "a", "b")
+
+
+def test_first_letter_slips_of_surnames(spark):
+    assert slip_edges(spark, [(1, "tolmander", 5), (2, "polmander", 1), (3, "olmander", 1), (4, "polmunder", 1)]) == [(2, 1), (3, 1), (4, 2)]

@@ -307,20 +307,23 @@ def _one_turn(x: str, y: str):
 def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     """Bearers whose surname or own name is a rare slip of another's, with the same given name or trade.
 
-    Only small profiles are slips, whole or not at all, and only the usual
-    spellings of a profile are what others slip from; so no slip ties two large
-    profiles together.  Blocking by the sorted letters and all ways to leave one out: any turned
+    Slips are profiles a third as large as the other or smaller, in that
+    spelling and as a whole, however large both are; beside them small profiles
+    (``rare``), unless the name is under five letters.  Only the usual spellings
+    of a profile are what others slip from.  Blocking by the sorted letters and all ways to leave one out: any turned
     letters and one other slip still meet.  Of several neighbours the nearest,
     then the most frequent is taken; equally good neighbours leave it alone.
     """
     forms = full.groupBy("own", "tag").agg(F.min("c").alias("c"), F.sum("rows").alias("n"), F.max("whole").alias("whole"), F.max("top").alias("top"))
     letters = F.array_join(F.array_sort(F.split("own", "")), "")
-    forms = forms.filter(F.length("own") >= 5).withColumn("letters", letters)
+    forms = forms.filter(F.length("own") >= 2).withColumn("letters", letters)
     less = F.transform(F.sequence(F.lit(1), F.length("letters")), lambda i: F.concat(F.substring(F.col("letters"), F.lit(1), i - 1), F.substring(F.col("letters"), i + 1, F.lit(100))))
     keyed = forms.withColumn("k", F.explode(F.array_distinct(F.concat(F.array("letters"), less))))
-    a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).filter((F.col("n") <= rare) & (F.col("whole") <= 2 * rare))
-    b = keyed.filter(F.col("n") * 3 >= F.col("top")).select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    met = a.join(b, ["tag", "k"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))))
+    a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("whole").alias("wx"))
+    b = keyed.filter(F.col("n") * 3 >= F.col("top")).select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("whole").alias("wy"))
+    small = (F.col("nx") <= rare) & (F.col("wx") <= 2 * rare) & (F.least(F.length("x"), F.length("y")) >= 5)
+    rarer = (F.col("nx") * 3 <= F.col("ny")) & (F.col("wx") * 3 <= F.col("wy"))
+    met = a.join(b, ["tag", "k"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (small | rarer))
     met = met.drop("k", "tag").distinct()
     lev = F.levenshtein("x", "y")
     turned = F.array_join(F.array_sort(F.split("x", "")), "") == F.array_join(F.array_sort(F.split("y", "")), "")

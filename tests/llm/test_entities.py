@@ -135,3 +135,7 @@ def slip_edges(spark, forms):
 
 def test_first_letter_slips_of_surnames(spark):
     assert slip_edges(spark, [(1, "tolmander", 5), (2, "polmander", 1), (3, "olmander", 1), (4, "polmunder", 1)]) == [(2, 1), (3, 1), (4, 2)]
+
+
+def test_slips_grow_with_the_bearer(spark):
+    assert slip_edges(spark, [(1, "tolmander", 900), (2, "tolmandre", 12), (3, "kimpending", 30), (4, "kimpendink", 20), (5, "kuhn", 9), (6, "kuhm", 3), (7, "wolf", 2), (8, "wolk", 1)]) == [(2, 1), (6, 5)]

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from kinweave.operators.components import connected_components
 from kinweave.runtime import Shelf
 
-#: A component of k ids gives k(k-1)/2 pairs; larger components are refused.
-MAX_COMPONENT = 20_000
+#: Ids of a component that one task pairs with all others of it.
+PAIR_BLOCK = 5_000
 
 
 class PanelData(NamedTuple):
@@ -25,19 +25,32 @@ def drop_repetitions(pairs: DataFrame, left: str = "left", right: str = "right")
     return pairs.groupBy(least.alias("__a"), most.alias("__b")).agg(F.min(F.struct(left, right)).alias("m")).select(f"m.{left}", f"m.{right}")
 
 
-def _members(groups: DataFrame, limit: int) -> None:
+def _members(groups: DataFrame, limit: int | None) -> None:
+    if limit is None:
+        return
     big = groups.groupBy("group_id").count().filter(F.col("count") > limit).take(1)
     if big:
         raise ValueError(f"component {big[0][0]} has {big[0][1]} ids; its pairs are refused beyond {limit}")
 
 
-def closure_pairs(matches: DataFrame, left: str = "left", right: str = "right", max_component: int = MAX_COMPONENT) -> DataFrame:
-    """(left, right) with left < right for every two ids linked directly or indirectly."""
+def _pairs(groups: DataFrame, left: str, right: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """Every two ids of a component, the smaller one left; a component of many ids is dealt over tasks in blocks."""
+    sizes = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "group_id")
+    a = dealt.select("group_id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias(left))
+    b = dealt.select("group_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias(right))
+    return a.join(b, ["group_id", "block"]).filter(F.col(left) < F.col(right)).select(left, right)
+
+
+def closure_pairs(matches: DataFrame, left: str = "left", right: str = "right", max_component: int | None = None) -> DataFrame:
+    """(left, right) with left < right for every two ids linked directly or indirectly.
+
+    A component of k ids gives k(k-1)/2 pairs; ``max_component`` refuses larger ones, by default none.
+    """
     shelf = Shelf(matches.sparkSession, "closure")
     groups = shelf.put(connected_components(matches, left, right, None, shelf), "groups")
     _members(groups, max_component)
-    a, b = groups.select("group_id", F.col("id").alias(left)), groups.select("group_id", F.col("id").alias(right))
-    return a.join(b, "group_id").filter(F.col(left) < F.col(right)).select(left, right)
+    return _pairs(groups, left, right)
 
 
 def all_ordered_pairs(matches: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -66,12 +79,13 @@ def stable_ids(panel: DataFrame, matches: DataFrame | None, unique_id: str) -> s
     return "bigint" if all(odd) else "string"
 
 
-def data_preparation_panel(panel: DataFrame, matches: DataFrame | None, unique_id: str, panel_id: str | None = None, max_component: int = MAX_COMPONENT) -> PanelData:
+def data_preparation_panel(panel: DataFrame, matches: DataFrame | None, unique_id: str, panel_id: str | None = None, max_component: int | None = None) -> PanelData:
     """Left and right entities and closed matches of a panel.
 
     Every two ids of a component are a match, the smaller one left; an id that
     occurs on both sides also matches itself, once.  Ids of the panel with one
-    ``panel_id`` count as linked.  Only ids in the panel are kept.
+    ``panel_id`` count as linked.  Only ids in the panel are kept.  The left and
+    right entities need no pairs; these are computed only where matches are read.
     """
     spark = panel.sparkSession
     shelf = Shelf(spark, "panel")
@@ -88,15 +102,15 @@ def data_preparation_panel(panel: DataFrame, matches: DataFrame | None, unique_i
         edges = edges.unionByName(own.join(first, panel_id).select("left", F.col(unique_id).alias("right")))
     groups = shelf.put(connected_components(edges, shelf=shelf).join(ids, "id", "left_semi"), "groups")
     _members(groups, max_component)
-    a, b = groups.select("group_id", F.col("id").alias("left")), groups.select("group_id", F.col("id").alias("right"))
-    pairs = a.join(b, "group_id").filter(F.col("left") < F.col("right")).select("left", "right")
     ends = groups.groupBy("group_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    inner = groups.join(ends, "group_id").filter((F.col("id") > F.col("lo")) & (F.col("id") < F.col("hi"))).select(F.col("id").alias("left"), F.col("id").alias("right"))
+    placed = groups.join(ends, "group_id")
+    inner = placed.filter((F.col("id") > F.col("lo")) & (F.col("id") < F.col("hi"))).select(F.col("id").alias("left"), F.col("id").alias("right"))
     given = edges.filter(F.col("left") == F.col("right")) if matches is not None and not panel_id else spark.createDataFrame([], f"left {kind}, right {kind}")
     given = given.join(ids.select(F.col("id").alias("left")), "left", "left_semi").select("left", "right")
-    closed = shelf.put(pairs.unionByName(inner.unionByName(given).distinct()), "closed")
+    closed = _pairs(groups, "left", "right").unionByName(inner.unionByName(given).distinct())
+    sides = {"left": placed.filter(F.col("id") < F.col("hi")), "right": placed.filter(F.col("id") > F.col("lo"))}
     frame = panel.drop(panel_id) if panel_id else panel
-    on = lambda side: frame.join(closed.select(F.col(side).alias(unique_id)).distinct(), unique_id, "left_semi").select(frame.columns).distinct().orderBy(unique_id)
+    on = lambda side: frame.join(sides[side].select(F.col("id").alias(unique_id)).unionByName(given.select(F.col("left").alias(unique_id))), unique_id, "left_semi").select(frame.columns).distinct().orderBy(unique_id)
     return PanelData(on("left"), on("right"), closed.orderBy("left", "right"))
 
 

@@ -235,3 +235,11 @@ def test_synthetic_rows(spark):
     assert blank.filter("city is not null or age is not null").count() == 0 and blank.count() == 10
     with pytest.raises(ValueError):
         synthetic.synth_mismatches(r, "rid", [], ["age"], n_cols=2)
+
+
+def test_large_components_are_whole(spark):
+    chain = spark.range(20_001).select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    p = spark.range(20_002).select("id", F.lit("a").alias("col"))
+    assert closure.data_preparation_panel(p, chain, "id").left.count() == 20_001  # without any pairs
+    groups = spark.createDataFrame([(1, k) for k in range(1, 24)] + [(50, 50), (50, 51)], "group_id long, id long")
+    assert rows(closure._pairs(groups, "left", "right", 4), "left", "right") == [(a, b) for a in range(1, 24) for b in range(a + 1, 24)] + [(50, 51)]

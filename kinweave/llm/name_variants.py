@@ -336,12 +336,13 @@ def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     return alone.select(F.col("cx").alias("a"), F.col("lo").alias("b"))
 
 
-def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str, ...] = ("current_name", "alternative_name"), order_col: str | None = "loaded_at", rare: int = 2, max_rounds: int = 10) -> DataFrame:
+def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str, ...] = ("current_name", "alternative_name"), order_col: str | None = "loaded_at", rare: int = 2, max_rounds: int = 200) -> DataFrame:
     """(id, bearer): every id with the least id of its bearer.
 
     Null ids are ignored; of a repeated id the latest row counts; rows without
     any readable name are bearers of their own; very long names are read whole;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result.  Rounds go on until nothing merges; ``max_rounds``
+    only guards against an endless loop.
     """
     spark = names.sparkSession
     ship(spark)
@@ -366,6 +367,8 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
         nxt = shelf.put(skew_lookup(label, "c", merged, "k", rows_of(label), "left").select("id", F.coalesce("to", "c").alias("c")), "labels")
         shelf.drop(label)
         label = nxt
+    else:
+        raise RuntimeError("merging did not end")
     return label.select("id", F.col("c").alias("bearer"))
 
 

@@ -139,3 +139,9 @@ def test_first_letter_slips_of_surnames(spark):
 
 def test_slips_grow_with_the_bearer(spark):
     assert slip_edges(spark, [(1, "tolmander", 900), (2, "tolmandre", 12), (3, "kimpending", 30), (4, "kimpendink", 20), (5, "kuhn", 9), (6, "kuhm", 3), (7, "wolf", 2), (8, "wolk", 1)]) == [(2, 1), (6, 5)]
+
+
+def test_unfinished_merging_is_an_error(spark):
+    d = spark.createDataFrame([(1, "Johann Tolmander", None), (2, "Tolmander, Hans", None)], "name_id long, current_name string, alternative_name string")
+    with pytest.raises(RuntimeError):
+        name_variants.link_variants(d, max_rounds=1)

@@ -236,8 +236,8 @@ def unlisted_given(texts: DataFrame, surnames: int = 10) -> list[str]:
     return sorted(r[0] for r in less.groupBy("w").count().filter(F.col("count") >= surnames).collect())
 
 
-def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None, shelf: Shelf | None = None) -> DataFrame:
-    """Every readable spelling of every id (of repeated ids the latest row), in parts."""
+def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None, shelf: Shelf | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Every readable spelling of every id (of repeated ids the latest row), in parts; and the unlisted given names."""
     order = F.col(order_col) if order_col and order_col in names.columns else F.lit(0)
     one = names.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(order.alias("o"), *[F.col(c).cast("string").alias(c) for c in columns]).alias("m"))
     one = one.groupBy("id").agg(F.max("m").alias("m"))
@@ -253,7 +253,7 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
             cols = list(zip(*out)) or [[] for _ in parts]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(cols)], names=parts)
 
-    return each.mapInArrow(run, _SPELLING).distinct()
+    return each.mapInArrow(run, _SPELLING).distinct(), frequent
 
 
 def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -262,33 +262,35 @@ def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(least, keys).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
 
 
-def _beginnings(spark) -> DataFrame:
-    """(known, pre): every way to shorten a given name or its pet forms; a few hundred rows, from the fixed list."""
+def _beginnings(spark, unlisted: tuple[str, ...] = ()) -> DataFrame:
+    """(known, pre): every way to shorten a given name or its pet forms; a few hundred rows from the fixed list, and
+    five for each unlisted given name."""
     rows = {(fold_name(n), fold_name(f)[:k]) for n, forms in GIVEN_NAMES.items() for f in (n, *forms) for k in range(1, 6)}
+    rows |= {(n, n[:k]) for n in unlisted for k in range(1, 6)}
     return F.broadcast(spark.createDataFrame(sorted(rows), "known string, pre string"))
 
 
-def _full_keys(profiles: DataFrame) -> DataFrame:
+def _full_keys(profiles: DataFrame, unlisted: tuple[str, ...] = ()) -> DataFrame:
     """(c, own, tag): what identifies a bearer: surname with given name and generation, or own name with trade."""
     person = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", "own", F.concat_ws("|", F.lit("P"), "first", "gen").alias("tag"))
     firm = profiles.filter((F.col("kind") == "F") & (F.col("trade") != "")).select("c", "own", F.concat_ws("|", F.lit("F"), "trade").alias("tag"))
     # an initial of a merged profile stands for the one given name of the profile that it fits
     firsts = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", F.col("first").alias("known")).distinct()
     initials = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
-    fits = initials.join(firsts, "c").join(_beginnings(profiles.sparkSession), ["known", "pre"])
+    fits = initials.join(firsts, "c").join(_beginnings(profiles.sparkSession, unlisted), ["known", "pre"])
     told = fits.groupBy("c", "own", "pre", "gen").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter(F.col("lo") == F.col("hi"))
     told = told.select("c", "own", F.concat_ws("|", F.lit("P"), "lo", "gen").alias("tag"))
     return person.unionByName(firm).unionByName(told).distinct()
 
 
-def _initial_edges(profiles: DataFrame, full: DataFrame) -> DataFrame:
+def _initial_edges(profiles: DataFrame, full: DataFrame, unlisted: tuple[str, ...] = ()) -> DataFrame:
     """Profiles known by an initial only, to the one bearer of that surname, generation and initial; if nobody
     with a full given name bears the surname, to each other; if several fit, to none."""
     waiting = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
     kinds = waiting.select("own", "pre", "gen").distinct()
     named = full.filter(F.col("tag").startswith("P|")).select("own", F.split("tag", r"\|")[1].alias("known"), F.split("tag", r"\|")[2].alias("gen"), "c")
     bearers = named.groupBy("own", "known", "gen").agg(F.min("c").alias("b"), F.max("c").alias("top"))
-    fits = kinds.join(bearers, ["own", "gen"]).join(_beginnings(profiles.sparkSession), ["known", "pre"])
+    fits = kinds.join(bearers, ["own", "gen"]).join(_beginnings(profiles.sparkSession, unlisted), ["known", "pre"])
     one = fits.groupBy("own", "pre", "gen").agg(F.min("b").alias("b"), F.max("top").alias("top"), F.count(F.lit(1)).alias("n"))
     certain = one.filter((F.col("n") == 1) & (F.col("b") == F.col("top")))
     known = waiting.join(certain.select("own", "pre", "gen", "b"), ["own", "pre", "gen"]).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
@@ -347,18 +349,19 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
     spark = names.sparkSession
     ship(spark)
     shelf = Shelf(spark, "variants")
-    read = shelf.put(spellings(names, id_col, columns, order_col, shelf), "spellings")
+    read, unlisted = spellings(names, id_col, columns, order_col, shelf)
+    read = shelf.put(read, "spellings")
     ids = names.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
     label = shelf.put(ids.select("id", F.col("id").alias("c")), "labels")
     for _ in range(max_rounds):
         per = read.join(label, "id")
         profiles = shelf.put(per.groupBy("c", "kind", "own", "first", "pre", "gen", "trade").agg(F.count(F.lit(1)).alias("rows")), "profiles")
-        full = shelf.put(_full_keys(profiles), "keys")
+        full = shelf.put(_full_keys(profiles, unlisted), "keys")
         sized = profiles.groupBy("c", "own").agg(F.sum("rows").alias("rows"))
         whole = sized.groupBy("c").agg(F.sum("rows").alias("whole"), F.max("rows").alias("top"))
         sized = sized.join(whole, "c")
         same = shelf.put(_star(full, ["own", "tag"]), "same")
-        initials = shelf.put(_initial_edges(profiles, full), "initials")
+        initials = shelf.put(_initial_edges(profiles, full, unlisted), "initials")
         slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare), "slips")
         edges = shelf.put(same.unionByName(initials).unionByName(slips).distinct(), "edges")
         if edges.isEmpty():

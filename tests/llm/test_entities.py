@@ -145,3 +145,8 @@ def test_unfinished_merging_is_an_error(spark):
     d = spark.createDataFrame([(1, "Johann Tolmander", None), (2, "Tolmander, Hans", None)], "name_id long, current_name string, alternative_name string")
     with pytest.raises(RuntimeError):
         name_variants.link_variants(d, max_rounds=1)
+
+
+def test_initials_of_unlisted_given_names(spark):
+    profiles = spark.createDataFrame([(1, "P", "tolmander", "ewald", "", "", ""), (2, "P", "tolmander", "", "e", "", "")], "c long, kind string, own string, first string, pre string, gen string, trade string")
+    assert rows(name_variants._initial_edges(profiles, name_variants._full_keys(profiles, ("ewald",)), ("ewald",)), "a", "b") == [(2, 1)]

@@ -214,7 +214,7 @@ class NameReader:
 _SPELLING = "id long, kind string, own string, first string, pre string, gen string, trade string"
 
 
-def unlisted_given(texts: DataFrame, surnames: int = 10) -> list[str]:
+def unlisted_given(texts: DataFrame, surnames: int = 10, shelf: Shelf | None = None) -> list[str]:
     """Given names that the list lacks, by the company they keep: words that mostly stand beside another word where a
     given name is still open, beside at least ``surnames`` different ones with less company than themselves.  Slips of
     the word's usual companion are no company, so one bearer with very many rows makes no given name."""
@@ -226,6 +226,7 @@ def unlisted_given(texts: DataFrame, surnames: int = 10) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["w", "beside"])
 
     met = texts.select("text").mapInArrow(run, "w string, beside string").groupBy("w", "beside").agg(F.count(F.lit(1)).alias("n"))
+    met = (shelf or Shelf(texts.sparkSession, "company")).put(met, "company")  # read several times below
     by = lambda c: F.col("beside") != "" if c else F.col("beside") == ""
     words = met.groupBy("w").agg(F.sum(F.when(by(True), F.col("n")).otherwise(0)).alias("open"), F.sum(F.when(by(False), F.col("n")).otherwise(0)).alias("told"), F.max(F.when(by(True), F.struct("n", "beside"))).getField("beside").alias("usual"))
     words = words.filter(F.col("open") > 0)
@@ -242,8 +243,9 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
     one = names.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(order.alias("o"), *[F.col(c).cast("string").alias(c) for c in columns]).alias("m"))
     one = one.groupBy("id").agg(F.max("m").alias("m"))
     each = one.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m.{c}") for c in columns]))).alias("text"))
-    each = (shelf or Shelf(names.sparkSession, "spellings")).put(each.filter(F.length(F.trim("text")) > 0), "texts")
-    frequent = tuple(unlisted_given(each))
+    shelf = shelf or Shelf(names.sparkSession, "spellings")
+    each = shelf.put(each.filter(F.length(F.trim("text")) > 0), "texts")
+    frequent = tuple(unlisted_given(each, shelf=shelf))
     parts = [p.split()[0] for p in _SPELLING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import datetime
 import random
 import re
 import unicodedata
@@ -101,10 +102,10 @@ def counts(tc):
 
 def test_signed_deltas(spark):
     tc = term_counts.TermCounts(spark, buckets=4)
-    state = {1: "Act. Ges. act", 2: "über Über", 3: None, 4: "", 5: "½ kg 12kg"}
+    state = {1: "Act. Ges. act", 2: "über Über", 3: None, 4: "", 5: "½ kg 12kg"}
     tc.apply(spark.createDataFrame(list(state.items()), "id long, name string"), "id", "name")
     assert counts(tc) == brute_terms(state)
-    change = [(1, "Ges. neu", False), (2, "über Über", False), (3, "act", False), (5, None, True), (6, "act act", False), (6, "act act", False), (None, "lost", False)]
+    change = [(1, "Ges. neu", False), (2, "über Über", False), (3, "act", False), (5, None, True), (6, "act act", False), (6, "act act", False), (None, "lost", False)]
     tc.apply(spark.createDataFrame(change, "id long, name string, gone boolean"), "id", "name", deleted_col="gone")
     state = {1: "Ges. neu", 2: "über Über", 3: "act", 4: "", 6: "act act"}
     assert counts(tc) == brute_terms(state)
@@ -112,6 +113,39 @@ def test_signed_deltas(spark):
     assert marks == {"ges": "rare", "neu": "rare", "über": "rare", "act": "common"}
 
 
+def test_counts_outlive_the_session(spark, tmp_path):
+    path, cols = f"file://{tmp_path}/terms", "id long, name string, at timestamp, gone boolean"
+    day = lambda d: datetime.datetime(1890, 1, d)
+    first = term_counts.TermCounts(spark, path, buckets=16)
+    first.apply(spark.createDataFrame([(1, "alt", day(5), False), (2, "neu neu", day(5), False), (3, "weg", day(5), False), (4, None, day(5), False)], cols), "id", "name", "at", "gone")
+    again = term_counts.TermCounts(spark.newSession(), path)
+    assert again.buckets == 16 and counts(again) == brute_terms({1: "alt", 2: "neu neu", 3: "weg"})
+    # a late older version, a changed, a deleted, an unchanged and a new record
+    late = [(1, "aelter", day(2), False), (2, "neuer", day(6), False), (3, None, day(7), True), (4, None, day(5), False), (5, "alt", None, False)]
+    again.apply(spark.createDataFrame(late, cols), "id", "name", "at", "gone")
+    want = brute_terms({1: "alt", 2: "neuer", 5: "alt"})
+    third = term_counts.TermCounts(spark, path)
+    assert counts(third) == want and third.state["named"] == 3
+    third.apply(spark.createDataFrame([(3, "weg", day(6), False), (5, "alt", None, False)], cols), "id", "name", "at", "gone")  # older than its deletion
+    assert counts(third) == want
+    with pytest.raises(ValueError):
+        third.apply(spark.createDataFrame([(1, "x", 3)], "id long, name string, at long"), "id", "name", "at")
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path):
+    path = f"file://{tmp_path}/terms"
+    tc = term_counts.TermCounts(spark, path, buckets=64)
+    tc.apply(spark.range(500).selectExpr("id", "concat('t', id) name"), "id", "name")
+    before = dict(tc.state["records"]), dict(tc.state["counts"])
+    tc.apply(spark.createDataFrame([(7, "t7 t8")], "id long, name string"), "id", "name")
+    changed = lambda old, new: [b for b in new if old.get(b) != new[b]]
+    assert len(changed(before[0], tc.state["records"])) == 1 and len(changed(before[1], tc.state["counts"])) == 1
+    assert counts(tc)["t8"] == (2, 2) and len(counts(tc)) == 500
+    for k in range(3):  # files that no kept manifest names are gone
+        tc.apply(spark.createDataFrame([(7, f"t{k}")], "id long, name string"), "id", "name")
+    assert counts(tc)["t2"] == (2, 2) and "t7" not in counts(tc) and len(list((tmp_path / "terms/manifest").glob("*.json"))) == 2
+
+
 def test_batches_agree_with_one(spark):
     rng = random.Random(2)
     data = [(k % 90, rng.choice(["a b", "b c", None, ""]) if k < 90 else None, k) for k in range(90)]

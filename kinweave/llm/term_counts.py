@@ -31,7 +31,7 @@ class TermCounts:
     earlier session left in ``path``; without a path the folder belongs to this application.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark = spark
         self.path = path.rstrip("/") if path else f"{Shelf(spark, 'terms').root}/store"
         at = self._path(self.path)
@@ -76,20 +76,24 @@ class TermCounts:
                 used = {(b, v) for k in kept for b, v in k[table].items()}
                 for b, v in gone[table].items():
                     if (b, v) not in used:
-                        self.fs.delete(self._path(self._folder(table, b, v)), True)
+                        self.fs.delete(self._path(f"{self.path}/{table}/v{v}/bucket={b}"), True)
             self.fs.delete(self._path(f"{self.path}/manifest/{old}"), False)
 
-    def _folder(self, table: str, bucket: str, version: int) -> str:
-        return f"{self.path}/{table}/v{version}/bucket={bucket}"
-
     def _schema(self, table: str, order: str | None = None) -> str:
         return _COUNTS if table == "counts" else f"id long, at {order or self.state['order'] or 'long'}, gone boolean, text string"
 
     def _stored(self, table: str, only: set[int] | None = None, order: str | None = None) -> DataFrame:
-        """The newest files of a table, of some buckets or of all."""
-        at = [self._folder(table, b, v) for b, v in sorted(self.state[table].items()) if only is None or int(b) in only]
+        """The newest files of a table, of some buckets or of all, a scan for each version that still holds some."""
+        by_version: dict[int, list[int]] = {}
+        for b, v in self.state[table].items():
+            if only is None or int(b) in only:
+                by_version.setdefault(v, []).append(int(b))
         schema = self._schema(table, order)
-        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+        out = None
+        for v, held in sorted(by_version.items()):
+            part = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{table}/v{v}").filter(F.col("bucket").isin(sorted(held))).drop("bucket")
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def _write(self, df: DataFrame, table: str, version: int, touched: set[int]) -> dict:
         """New files of the touched buckets; where each bucket's newest files are now."""

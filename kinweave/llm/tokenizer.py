@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kinweave.runtime import Shelf, ship
+from kinweave.runtime import Shelf, rows_of, ship
 
 DEFAULT_TOKENIZER = os.environ.get("KINWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -23,6 +23,8 @@ _JVM_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\p{IsWhite_Space}
 
 #: Word occurrences that share one dictionary; bounds a task's memory and the size of a dictionary.
 CHUNK_WORDS = 2_000_000
+#: Stretches whose rows of one word may meet in one task.
+STRETCHES = 100_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -44,11 +46,16 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_JVM_SPLIT), F.lit(0))
 
 
-_CHUNK = "chunk long, doc binary, ends array<int>, at array<int>, words array<string>"
+def _chunk_schema(kind: str) -> str:
+    return f"chunk long, doc binary, ends array<int>, at array<int>, held array<{kind}>"
 
 
-def _chunked(doc_type: pa.DataType):
-    """Batches of (doc, words) to rows of one dictionary each: the distinct words, and every document's places in it."""
+def _chunked(doc_type: pa.DataType, value_type: pa.DataType, most: int):
+    """Batches of (doc, values) to rows of one dictionary each: the distinct values, and every document's places in it.
+
+    Documents are added to a chunk as long as it holds at most ``most`` values, wherever Arrow batches end; a longer
+    document is a chunk of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,23 +73,42 @@ def _chunked(doc_type: pa.DataType):
                 w.write_batch(pa.RecordBatch.from_arrays([docs], names=["doc"]))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             chunk = (part << 32) + n
-            out = [pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), one(pa.array(ends)), one(coded.indices.cast(pa.int32())), one(coded.dictionary.cast(pa.string()))]
+            out = [pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), one(pa.array(ends)), one(coded.indices.cast(pa.int32())), one(coded.dictionary.cast(value_type))]
             held, size, n = [], 0, n + 1
-            return pa.RecordBatch.from_arrays(out, names=["chunk", "doc", "ends", "at", "words"])
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "doc", "ends", "at", "held"])
 
         for b in batches:
-            words = b.column(1)
-            words = words if isinstance(words, pa.ListArray) else words.cast(pa.list_(pa.string()))
-            held.append((b.column(0), words))
-            size += len(words.flatten())
-            if size >= CHUNK_WORDS:
-                yield flush()
+            values = b.column(1)
+            values = values if isinstance(values, pa.ListArray) else values.cast(pa.list_(value_type))
+            upto = values.offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < len(values):
+                fit = int(np.searchsorted(upto, upto[at] + most - size, side="right")) - 1  # documents that still fit
+                if fit <= at:
+                    if held:
+                        yield flush()
+                        continue
+                    fit = at + 1
+                held.append((b.column(0).slice(at, fit - at), values.slice(at, fit - at)))
+                size += int(upto[fit] - upto[at])
+                at = fit
         if held:
             yield flush()
 
     return run
 
 
+def _placed(chunks: DataFrame, value: str) -> DataFrame:
+    return chunks.select("chunk", F.posexplode("held").alias("place", value))
+
+
+def _join_back(chunks: DataFrame, met: DataFrame, value: str, kind: str) -> DataFrame:
+    """Every chunk with the (place, value) pairs of its dictionary; no more rows are shuffled than dictionaries hold."""
+    back = met.groupBy("chunk").agg(F.collect_list(F.struct("place", value)).alias("packed"))
+    whole = chunks.select("chunk", "doc", "ends", "at").join(back, "chunk", "left")
+    return whole.select("doc", "ends", "at", F.coalesce("packed", F.array().cast(f"array<struct<place:int,{value}:{kind}>>")).alias("packed"))
+
+
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = load(path)
@@ -94,29 +120,40 @@ def _encode_words(path: str):
     return run
 
 
-def _fill(doc_name: str):
-    """One row per chunk, with its words' ids in place order, to (doc, ids) rows."""
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """Of every chunk: its documents, the places where each ends, and the joined values by place of every value."""
+    for b in batches:
+        for i in range(b.num_rows):
+            docs = pa.ipc.open_stream(b.column(0)[i].as_buffer()).read_all().column(0).combine_chunks()
+            docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
+            ends = np.concatenate([[0], b.column(1)[i].values.to_numpy()]).astype(np.int64)
+            packed = b.column(3)[i].values  # structs (place, value)
+            order = np.argsort(packed.field(0).to_numpy(), kind="stable")
+            yield docs, ends, packed.field(1).take(pa.array(order)).take(b.column(2)[i].values)
+
 
+def _fill_ids(doc_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                docs = pa.ipc.open_stream(b.column(0)[i].as_buffer()).read_all().column(0).combine_chunks()
-                docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
-                ends = b.column(1)[i].values.to_numpy()
-                at = b.column(2)[i].values
-                packed = b.column(3)[i].values  # structs (place, ids)
-                order = np.argsort(packed.field(0).to_numpy(), kind="stable")
-                by_place = packed.field(1).take(pa.array(order))
-                per_word = by_place.take(at)
-                offs = per_word.offsets.to_numpy()
-                bounds = offs[np.concatenate([[0], ends]).astype(np.int64)] - offs[0]
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), per_word.flatten())
-                yield pa.RecordBatch.from_arrays([docs, ids], names=[doc_name, "ids"])
+        for docs, ends, per_word in _filled(batches):
+            offs = per_word.offsets.to_numpy()
+            ids = pa.ListArray.from_arrays(pa.array(offs[ends] - offs[0], pa.int32()), per_word.flatten())
+            yield pa.RecordBatch.from_arrays([docs, ids], names=[doc_name, "ids"])
+
+    return run
+
+
+def _fill_text(doc_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, ends, pieces in _filled(batches):
+            offs = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+            raw, at = (pieces.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), offs[ends]
+            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(texts, pa.string())], names=[doc_name, "text"])
 
     return run
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(id, ids): the token ids of every row's text, without special tokens.
 
     A null and an empty text give the empty list; every row gives one row,
@@ -124,10 +161,12 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ignored; an empty table gives an empty result.
 
     Words are split in the JVM.  Tasks turn stretches of documents (at most
-    about CHUNK_WORDS words) into places in a stretch dictionary, so a word as
-    frequent as "the" is shuffled once per stretch and not once per occurrence;
-    each distinct word of the corpus is encoded once; the ids come back to the
-    stretches by (stretch, place), and documents are filled from them in Arrow.
+    ``chunk_words`` words, a longer document alone) into places in a stretch
+    dictionary, so a word as frequent as "the" is shuffled once per stretch and
+    not once per occurrence; each distinct word of the corpus is encoded once;
+    the ids come back to the stretches by (stretch, place), and documents are
+    filled from them in Arrow.  A word has one row a stretch at most; beyond
+    STRETCHES stretches its rows are dealt over several keys.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -136,14 +175,15 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shelf = Shelf(spark, "encode")
     kind = docs.schema[id_col].dataType
     pairs = docs.select(F.col(id_col).alias("doc"), split_words(F.col(text_col)).alias("words"))
-    chunks = shelf.put(pairs.mapInArrow(_chunked(to_arrow_type(kind)), _CHUNK), "chunks")
-    placed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
+    chunks = shelf.put(pairs.mapInArrow(_chunked(to_arrow_type(kind), pa.string(), chunk_words), _chunk_schema("string")), "chunks")
+    placed = _placed(chunks, "word")
     coded = placed.select("word").distinct().mapInArrow(_encode_words(tokenizer), "word string, ids array<int>")
-    back = placed.join(coded, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "ids")).alias("packed"))
-    whole = chunks.select("chunk", "doc", "ends", "at").join(back, "chunk", "left")
-    none = F.array().cast("array<struct<place:int,ids:array<int>>>")
-    whole = whole.select("doc", "ends", "at", F.coalesce("packed", none).alias("packed"))
-    return whole.mapInArrow(_fill(id_col), f"`{id_col}` {kind.simpleString()}, ids array<int>")
+    deals = rows_of(chunks) // STRETCHES + 1  # rows of a word that one key holds: at most about STRETCHES
+    if deals > 1:
+        placed = placed.withColumn("deal", F.pmod(F.xxhash64("chunk"), F.lit(deals)))
+        coded = coded.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    met = placed.join(coded, ["word", "deal"] if deals > 1 else "word")
+    return _join_back(chunks, met, "ids", "array<int>").mapInArrow(_fill_ids(id_col), f"`{id_col}` {kind.simpleString()}, ids array<int>")
 
 
 def pieces_table(spark: SparkSession, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -152,18 +192,30 @@ def pieces_table(spark: SparkSession, tokenizer: str = DEFAULT_TOKENIZER) -> Dat
     return spark.createDataFrame([(i, bytearray(b)) for i, b in sorted(by_id.items())], "id int, piece binary")
 
 
-def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(id, text) from token ids, by a join with the id-to-piece table (as large as the vocabulary).
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = DEFAULT_TOKENIZER, chunk_ids: int = CHUNK_WORDS) -> DataFrame:
+    """(id, text) from token ids, by a join with the id-to-piece table.
 
-    Ids must be unique.  Null or empty lists give the empty text; ids outside the vocabulary are
-    skipped; bytes that are no UTF-8 become U+FFFD.
+    Every row gives one row, repeated and null ids included.  Null or empty
+    lists give the empty text; ids outside the vocabulary are skipped; bytes
+    that are no UTF-8 become U+FFFD; an empty table gives an empty result.
+
+    Like encoding: tasks turn stretches of at most ``chunk_ids`` token ids into
+    dictionaries, each dictionary's distinct ids meet the pieces (a table as
+    large as the vocabulary, broadcast), and the pieces are put in their places.
+    No row is made for a single token.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = encoded.sparkSession
-    at = encoded.select(F.col(id_col).alias("doc"), F.posexplode(ids_col).alias("pos", "id"))
-    met = at.join(F.broadcast(pieces_table(spark, tokenizer)), "id")
-    joined = met.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: F.hex(x["piece"])).alias("p"))
-    text = joined.select("doc", F.decode(F.unhex(F.array_join("p", "")), "UTF-8").alias("text"))
-    return encoded.select(F.col(id_col)).join(text, F.col(id_col) == F.col("doc"), "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    ship(spark)
+    shelf = Shelf(spark, "decode")
+    kind = encoded.schema[id_col].dataType
+    known = F.filter(F.coalesce(F.col(ids_col), F.array()).cast("array<int>"), lambda x: x.isNotNull())
+    pairs = encoded.select(F.col(id_col).alias("doc"), known.alias("ids"))
+    chunks = shelf.put(pairs.mapInArrow(_chunked(to_arrow_type(kind), pa.int32(), chunk_ids), _chunk_schema("int")), "chunks")
+    pieces = F.broadcast(pieces_table(spark, tokenizer))
+    met = _placed(chunks, "id").join(pieces, "id", "left").select("chunk", "place", F.coalesce("piece", F.lit(b"")).alias("piece"))
+    return _join_back(chunks, met, "piece", "binary").mapInArrow(_fill_text(id_col), f"`{id_col}` {kind.simpleString()}, text string")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -250,15 +302,23 @@ def split_text(text: str, enc, byte_len: np.ndarray, max_tokens: int, overlap: i
                         s, cut = s2, cut2
             piece = raw[offs[start] : offs[cut]].decode("utf-8", "replace")
             size = len(enc.encode_ordinary(piece))  # a cut can change how its surroundings are encoded
-            if size <= max_tokens or span <= overlap + 16:
+            if size <= max_tokens:
                 break
             span = min(span, cut - start) - (size - max_tokens)
+            if span <= overlap + 8:  # as many bytes as tokens are allowed always fit
+                cut = int(np.searchsorted(offs, offs[start] + max_tokens, "right")) - 1
+                while cut > start + 1 and cut < n and strength[cut] == _NEVER:
+                    cut -= 1
+                piece = raw[offs[start] : offs[cut]].decode("utf-8", "replace")
+                size = len(enc.encode_ordinary(piece))
+                break
         out.append((piece, size))
         if cut == n:
             return out
-        start = cut - overlap
+        back, start = start, cut - overlap
         while start > 0 and strength[start] == _NEVER:
             start -= 1
+        start = max(start, back + 1)  # only where the overlap is wider than what fits
 
 
 def split_oversized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2500, overlap: int = 200, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,16 +24,45 @@ def test_encode_equals_the_tokenizer(spark):
     assert tokenizer.encode_corpus(docs(spark).limit(0)).count() == 0
 
 
-def test_random_texts_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(tokenizer, "CHUNK_WORDS", 50)
+@pytest.mark.parametrize("stretches", [1, 100_000])
+def test_random_texts_round_trip(spark, monkeypatch, stretches):
+    monkeypatch.setattr(tokenizer, "STRETCHES", stretches)
     rng = random.Random(4)
     pool = "ab Z9.,'\n\t äß漢👍 　-_"
     data = [(f"d{k}", "".join(rng.choice(pool) for _ in range(rng.randrange(60)))) for k in range(200)]
     enc, _ = tokenizer.load(tokenizer.DEFAULT_TOKENIZER)
     d = spark.createDataFrame(data, "doc_id string, text string")
-    coded = tokenizer.encode_corpus(d)
+    coded = tokenizer.encode_corpus(d, chunk_words=50)
     assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {k: enc.encode_ordinary(t) for k, t in data}
-    assert {r["doc_id"]: r["text"] for r in tokenizer.decode_corpus(coded).collect()} == dict(data)
+    assert {r["doc_id"]: r["text"] for r in tokenizer.decode_corpus(coded, chunk_ids=70).collect()} == dict(data)
+
+
+def test_decoding_any_ids(spark):
+    enc, _ = tokenizer.load(tokenizer.DEFAULT_TOKENIZER)
+    ids = enc.encode_ordinary("漢字 and 👍")
+    data = [(1, ids), (2, []), (3, None), (None, ids), (1, ids), (4, [None, *ids, 10**9, -1]), (5, ids[:1])]
+    got = tokenizer.decode_corpus(spark.createDataFrame(data, "doc_id long, ids array<int>").withColumn("text", F.lit("clash"))).collect()
+    want = ["漢字 and 👍"] * 4 + ["", "", bytes(enc.decode_single_token_bytes(ids[0])).decode("utf-8", "replace")]
+    assert sorted(r["text"] for r in got) == sorted(want) and len(got) == 7
+    assert tokenizer.decode_corpus(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
+def test_chunks_end_inside_batches(spark):
+    d = spark.createDataFrame([(k, [f"w{x % 50}" for x in range(1 + 37 * k % 400)]) for k in range(3000)] + [(-1, ["long"] * 9000), (-2, [])], "doc long, words array<string>").coalesce(2)
+    out = d.mapInArrow(tokenizer._chunked(pa.int64(), pa.string(), 5000), tokenizer._chunk_schema("string")).selectExpr("size(ends) docs", "size(at) n", "size(held) distinct").collect()
+    assert sum(r["docs"] for r in out) == 3002 and sorted(r["n"] for r in out)[-2:] < [5001, 9001] and max(r["n"] for r in out) == 9000 and all(r["distinct"] <= 51 for r in out)
+
+
+def test_pieces_never_exceed_the_limit():
+    class Bad:  # a tokenizer whose pieces never come out shorter until they are as short as their bytes
+        def encode_ordinary(self, t):
+            return list(range(len(t.encode()))) if len(t.encode()) <= 40 else list(range(999))
+
+    text, byte_len = "abc " * 300, np.ones(2000, np.int64)
+    enc = Bad()
+    enc.encode_ordinary, first = (lambda t, f=enc.encode_ordinary: list(range(1200)) if t == text else f(t)), None  # noqa: F841
+    got = tokenizer.split_text(text, enc, byte_len, 40, 4)
+    assert got and all(size <= 40 for _, size in got) and got[0][0] == text[: len(got[0][0])] and text.endswith(got[-1][0])
 
 
 def test_split_pieces(spark):

@@ -9,6 +9,9 @@ total confidence is greatest.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinweave.functions.text import nfc
@@ -58,7 +61,7 @@ def _degrees(c: Column, limit: float) -> Column:
 
 def _tokens(name: Column) -> Column:
     plain = F.regexp_replace(F.translate(fold(name), "01", "ol"), rf"(?<![\p{{L}}])(?:{LEGAL_FORMS})(?![\p{{L}}])", " ")
-    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}]+"), F.lit(0)), lambda t: F.length(t) >= 4)
+    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}]+"), F.lit(0)), lambda t: F.length(t) >= 2)
 
 
 def _grams(tokens: Column) -> Column:
@@ -85,17 +88,18 @@ def records(df: DataFrame, source: int, id_col: str, name: str, lat: str, lon: s
     return one.select(
         F.lit(source).alias("src"), "id", F.coalesce(_tokens(F.col("name")), F.array().cast("array<string>")).alias("tokens"),
         F.when(F.length(F.regexp_replace(city, r"\.", "")) > 0, city).alias("city"),
-        F.when((F.length(trade) > 0) & (trade != "nachtrag"), trade).alias("trade"),
+        F.when(F.length(trade) > 0, trade).alias("trade"),
         F.when(F.length(F.trim("purpose")) > 0, F.xxhash64(fold(F.trim("purpose")))).alias("purpose"),
-        F.when(F.length(capital) > 0, F.try_to_number(F.substr(capital, F.lit(1), F.lit(12)), F.lit("9" * 12)).cast("long")).alias("capital"),
+        F.when(F.length(capital).between(1, 18), capital.cast("long")).alias("capital"),
         found.alias("found"), F.coalesce(F.floor(found / 10000).cast("int"), year).alias("year"), parse_date(F.col("registered")).alias("registered"), _days(found).alias("found_n"), _days(parse_date(F.col("registered"))).alias("registered_n"),
         _degrees(F.col("lat"), 90.0).alias("lat"), _degrees(F.col("lon"), 180.0).alias("lon"),
     )
 
 
 def with_core(rows: DataFrame, common_above: float = 0.002) -> DataFrame:
-    """Adds the name's own words (those that at most ``common_above`` of all records hold), their
-    three-letter grams, and the first letters of its common words, which tell the trade.
+    """Adds the name's own words (those that at most ``common_above`` of all records hold; short ones
+    only where there is no word of four letters), their three-letter grams, and the first letters of
+    its common words, which tell the trade.
 
     A record holds a few words, so at most (words a record) / common_above
     different words are that common; this short list is collected and applied
@@ -105,11 +109,32 @@ def with_core(rows: DataFrame, common_above: float = 0.002) -> DataFrame:
     df = rows.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().filter(F.col("count") > F.lit(max(2.0, common_above * n)))
     common = F.array(*[F.lit(r[0]) for r in df.select("t").collect()]).cast("array<string>")
     first = lambda x: F.substring(x, 1, 4)
-    kind = F.array_remove(F.array_distinct(F.transform(F.array_intersect("tokens", common), first)), F.coalesce(first(F.col("city")), F.lit("-")))
-    core = F.array_distinct(F.array_except("tokens", common))
+    long = lambda c: F.filter(c, lambda t: F.length(t) >= 4)
+    kind = F.array_remove(F.array_distinct(F.transform(long(F.array_intersect("tokens", common)), first)), F.coalesce(first(F.col("city")), F.lit("-")))
+    own = F.array_distinct(F.array_except("tokens", common))
+    core = F.when(F.size(long(own)) > 0, long(own)).otherwise(own)
     return rows.withColumn("core", core).withColumn("kind", kind).withColumn("grams", _grams(F.col("core"))).drop("tokens")
 
 
+def without_empty_trades(rows: DataFrame, least: int = 5, agreed: float = 0.3) -> DataFrame:
+    """Trades that tell nothing become null.
+
+    Records with one founding date, capital and place are as good as certainly
+    one firm.  A label that meets another record there at least ``least`` times
+    and in under ``agreed`` of these has the same label beside it is a remark of
+    the register and no trade.  There are fewer such labels than 1 / ``least`` of
+    the labels met; they are looked up by a join, broadcast if Spark finds them small.
+    """
+    known = rows.filter(F.col("found").isNotNull() & F.col("capital").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("trade").isNotNull())
+    key = ["found", "capital", F.round("lat", 2).alias("at"), F.round("lon", 2).alias("on")]
+    per = known.groupBy(*key, "trade").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy("found", "capital", "at", "on").agg(F.sum("n").alias("all"))
+    met = per.join(sizes, ["found", "capital", "at", "on"]).filter(F.col("all") > 1)
+    told = met.groupBy("trade").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("same"))
+    empty = told.filter((F.col("rows") >= least) & (F.col("same") < agreed * F.col("rows"))).select(F.col("trade").alias("no_trade"))
+    return rows.join(empty, rows["trade"] == empty["no_trade"], "left").withColumn("trade", F.when(F.col("no_trade").isNull(), F.col("trade"))).drop("no_trade")
+
+
 def _key_rows(rows: DataFrame) -> DataFrame:
     """Each record under its composite sort keys; a key with no content is left out."""
     s = lambda *c: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("~")) for x in c])
@@ -264,27 +289,36 @@ def _hopeful(x: dict, y: dict, least: float) -> dict | None:
     return {"s1": pick(x, y, "src"), "id1": pick(x, y, "id"), "s2": pick(y, x, "src"), "id2": pick(y, x, "id"), "rest": rest[ok]}
 
 
-def _across(ends: list, window: int, least: float) -> list[tuple]:
-    """Pairs across partition ends, from the first and last rows of every partition."""
-    import numpy as np
+def _compare(least: float):
+    """(x.., y..) rows of two sketches each to pairs with enough evidence."""
 
-    offsets, at = {}, 0
-    for part, n in sorted({(r["part"], r["rows"]) for r in ends}):
-        offsets[part] = at
-        at += n
-    ends = sorted(ends, key=lambda r: offsets[r["part"]] + r["at"])
-    cols = {c: np.array([r[c] for r in ends]) for c in (*_SKETCH, "part")}
-    pos = np.array([offsets[r["part"]] + r["at"] for r in ends])
-    out = []
-    for k in range(1, window + 1):
-        if len(pos) <= k:
-            break
-        near = np.flatnonzero((pos[k:] - pos[:-k] <= window) & (cols["part"][k:] != cols["part"][:-k]))
-        x, y = {c: v[near] for c, v in cols.items()}, {c: v[near + k] for c, v in cols.items()}
-        keep = _hopeful(x, y, least) if len(near) else None
-        if keep:
-            out += [tuple(v.item() for v in t) for t in zip(*(keep[c] for c in _PAIR))]
-    return out
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n = len(_SKETCH)
+        for b in batches:
+            x, y = ({c: b.column(k + i).to_numpy(zero_copy_only=False) for i, c in enumerate(_SKETCH)} for k in (0, n))
+            keep = _hopeful(x, y, least) if b.num_rows else None
+            if keep is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keep[c]), pa.float64() if c == "rest" else pa.int64()) for c in _PAIR], names=list(_PAIR))
+
+    return run
+
+
+def across_ends(ends: DataFrame, window: int, least: float) -> DataFrame:
+    """Pairs across partition ends, from the first and last rows of every partition.
+
+    A row's place in the whole order is the rows of all partitions before its own plus its place there (one small row
+    a partition is summed); rows at most ``window`` places apart meet by an equi-join on the place.
+    """
+    sizes = ends.groupBy("part").agg(F.max("rows").alias("rows"))
+    before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))  # one row a partition
+    placed = ends.join(before, "part").select((F.col("before") + F.col("at")).alias("place"), "part", *_SKETCH)
+    x = placed.select(F.explode(F.array([F.col("place") + k for k in range(1, window + 1)])).alias("place"), F.col("part").alias("x_part"), *[F.col(c).alias(f"x_{c}") for c in _SKETCH])
+    y = placed.select("place", F.col("part").alias("y_part"), *[F.col(c).alias(f"y_{c}") for c in _SKETCH])
+    met = x.join(y, "place").filter(F.col("x_part") != F.col("y_part")).select(*[f"x_{c}" for c in _SKETCH], *[f"y_{c}" for c in _SKETCH])
+    return met.mapInArrow(_compare(least), ", ".join(f"{c} {'double' if c == 'rest' else 'long'}" for c in _PAIR))
 
 
 def scored_neighbours(rows: DataFrame, shelf: Shelf, window: int = 6, threshold: float = 6.0) -> DataFrame:
@@ -293,8 +327,7 @@ def scored_neighbours(rows: DataFrame, shelf: Shelf, window: int = 6, threshold:
     The records' keys are range-partitioned and sorted with sketches of the
     records; neighbours whose numbers and dates leave the threshold within reach
     of name and city meet again with their texts, once each.  Neighbours on
-    either side of a partition's end are compared on the driver: 2 x window rows
-    a partition.
+    either side of a partition's end (2 x window rows a partition are kept) meet by their places.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -302,48 +335,83 @@ def scored_neighbours(rows: DataFrame, shelf: Shelf, window: int = 6, threshold:
     coded = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c)).alias(c)
     place = lambda c: F.coalesce(F.col(c), F.lit(float("nan"))).alias(c)
     sketch = [coded(c) if c in ("trade", "purpose") else place(c) if c in ("lat", "lon") else number(c) for c in _SKETCH]
-    keyed = _key_rows(rows).select("key", *sketch)
+    keyed = _key_rows(rows).select("key", "own_id", *sketch)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "key", "src", "id").sortWithinPartitions("key", "src", "id").select(*_SKETCH)
+    ordered = keyed.repartitionByRange(n, "key", "src", "own_id").sortWithinPartitions("key", "src", "own_id").select(*_SKETCH)
     least = threshold - _TEXT_MOST
     kinds = ", ".join(f"{c} double" if c in ("rest", "lat", "lon") else f"{c} long" for c in (*_PAIR, *_SKETCH, "at", "part", "rows"))
     met = shelf.put(ordered.mapInArrow(_slide(window, least), f"kind int, {kinds}"), "met")
-    across = _across([r.asDict() for r in met.filter(F.col("kind") == 1).collect()], window, least)
-    pairs = met.filter(F.col("kind") == 0).select(*_PAIR).unionByName(spark.createDataFrame(across, "s1 long, id1 long, s2 long, id2 long, rest double"))
+    pairs = met.filter(F.col("kind") == 0).select(*_PAIR).unionByName(across_ends(met.filter(F.col("kind") == 1), window, least))
     once = pairs.groupBy("s1", "id1", "s2", "id2").agg(F.max("rest").alias("rest"))
     texts = F.struct("grams", "kind", "city", "lat", "lon")
-    ta = rows.select(F.col("src").cast("long").alias("s1"), F.col("id").alias("id1"), texts.alias("a"))
-    tb = rows.select(F.col("src").cast("long").alias("s2"), F.col("id").alias("id2"), texts.alias("b"))
-    full = once.join(ta, ["s1", "id1"]).join(tb, ["s2", "id2"])
+    full = once.join(rows.select(F.col("id").alias("id1"), texts.alias("a")), "id1").join(rows.select(F.col("id").alias("id2"), texts.alias("b")), "id2")
     score = F.col("rest") + city_evidence(F.col("a"), F.col("b")) + name_evidence(F.col("a"), F.col("b"))
     return full.select("s1", "id1", "s2", "id2", score.alias("score")).filter(F.col("score") >= threshold)
 
 
-def auction(edges: list[tuple[int, int, float]], eps: float) -> dict[int, int]:
-    """One-to-one assignment {left: right} within eps per left of the greatest total confidence.
+def best_assignment(edges: list[tuple[int, int, float]]) -> dict[int, int]:
+    """One-to-one assignment {left: right} of the greatest total confidence; of equal ones any, but always the same.
 
-    With eps below the step of the confidences divided by the number of lefts it is the greatest.
+    Lefts enter one by one; each takes the cheapest way of exchanges to a right
+    that is free, or to leaving some left single (at worst itself), searched by
+    Dijkstra over reduced costs.  Prices of rights keep these costs from becoming negative.
     """
     offers: dict[int, list[tuple[int, float]]] = {}
+    top = max((c for _, _, c in edges), default=0.0)
     for a, b, c in sorted(edges):
-        offers.setdefault(a, []).append((b, c))
-    price, owner, free, mine = {}, {}, sorted(offers, reverse=True), {}
-    while free:
-        a = free.pop()
-        best, second, pick = 0.0, 0.0, None
-        for b, c in offers[a]:
-            v = c - price.get(b, 0.0)
-            if v > best:
-                best, second, pick = v, best, b
-            elif v > second:
-                second = v
-        if pick is None:
-            continue  # every right costs more than it is worth: stays single
-        price[pick] = price.get(pick, 0.0) + best - second + eps
-        if pick in owner:
-            free.append(owner[pick])
-            del mine[owner[pick]]
-        owner[pick], mine[a] = a, pick
+        offers.setdefault(a, []).append((b, top - c))  # costs; staying single costs ``top``
+    price: dict[int, float] = {}
+    base: dict[int, float] = {}  # of an entered left: the least of what it pays or could pay
+    owner: dict[int, int] = {}
+    mine: dict[int, int] = {}
+    for start in sorted(offers):
+        came: dict[int, int] = {}  # right -> the left that reaches it
+        dist: dict[int, float] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        lefts: list[tuple[int, float]] = [(start, 0.0)]
+        end, cost, single = None, float("inf"), start
+        a, d = start, 0.0
+        base[start] = min([top, *(w - price.get(b, 0.0) for b, w in offers[start])])
+        while True:
+            if d + top - base[a] < cost:  # this left goes single
+                end, cost, single = None, d + top - base[a], a
+            for b, w in offers[a]:
+                if b in done or mine.get(a) == b:
+                    continue
+                v = d + w - price.get(b, 0.0) - base[a]
+                if v < dist.get(b, float("inf")):
+                    dist[b], came[b] = v, a
+                    heapq.heappush(heap, (v, b))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= cost:
+                break
+            d, b = heapq.heappop(heap)
+            done[b] = d
+            if b not in owner:
+                end, cost = b, d
+                break
+            a = owner[b]
+            lefts.append((a, d))
+        for x, far in lefts:
+            base[x] += max(0.0, cost - far)
+        for x, far in done.items():
+            price[x] = price.get(x, 0.0) - max(0.0, cost - far)
+        if end is None:
+            b = mine.pop(single, None)
+            if b is None:
+                continue  # the new left itself stays single
+            a = came[b]
+        else:
+            b, a = end, came[end]
+        while True:
+            owner[b], old = a, mine.get(a)
+            mine[a] = b
+            if a == start:
+                break
+            b = old
+            a = came[b]
     return mine
 
 
@@ -351,39 +419,55 @@ def _assign_component(pdf):
     import pandas as pd
 
     edges = list(zip(pdf["e1"].tolist(), pdf["e2"].tolist(), pdf["score"].tolist()))
-    mine = auction(edges, 0.5 / (pdf["e1"].nunique() + 1) / 2)  # confidences are multiples of 0.5
-    best = {(a, b): c for a, b, c in edges}
+    mine = best_assignment(edges)
+    best: dict[tuple[int, int], float] = {}
+    for a, b, c in edges:
+        best[(a, b)] = max(c, best.get((a, b), c))
     return pd.DataFrame({"e1": list(mine), "e2": list(mine.values()), "score": [best[x] for x in mine.items()]}).astype({"e1": "int64", "e2": "int64", "score": "float64"})
 
 
-def _auction_rounds(edges: DataFrame, shelf: Shelf, eps: float = 0.05) -> DataFrame:
-    """The same auction with all free lefts bidding at once, for components too large for a task."""
+def bidding(edges: DataFrame, shelf: Shelf, eps: float = 0.05, rounds: int = 20) -> DataFrame:
+    """(e1, e2, score): one-to-one, by an auction in which all free lefts bid at once, for components too large for a task.
+
+    A bid raises the price of its right by at least ``eps``, so the total is
+    within ``eps`` a record of the greatest.  After every ``rounds`` rounds the
+    step is doubled for those who still bid: once it exceeds the greatest
+    confidence, each right bid for is closed for good, so the rounds are at most
+    rounds x (2 + log2(greatest / eps)) plus the most rights that one left has.
+    """
     spark = edges.sparkSession
     state = shelf.put(spark.createDataFrame([], "e2 long, owner long, price double"), "prices")
+    top = edges.agg(F.max("score")).first()[0] or 0.0
+    n = 0
     while True:
+        step = eps * 2.0 ** min(n // rounds, 60)
         offers = edges.join(state.select("e2", "price"), "e2", "left").withColumn("v", F.col("score") - F.coalesce("price", F.lit(0.0)))
-        free = offers.join(state.select(F.col("owner").alias("e1")), "e1", "left_anti")
-        top = Window.partitionBy("e1").orderBy(F.desc("v"), "e2")
-        ranked = free.filter(F.col("v") > 0).withColumns({"r": F.row_number().over(top), "second": F.coalesce(F.lead("v").over(top), F.lit(0.0))}).filter(F.col("r") == 1)
-        bids = ranked.select("e2", F.col("e1").alias("owner"), (F.coalesce("price", F.lit(0.0)) + F.col("v") - F.col("second") + eps).alias("price"))
+        free = offers.join(state.select(F.col("owner").alias("e1")), "e1", "left_anti").filter(F.col("v") > 0)
+        top_two = free.groupBy("e1").agg(F.max(F.struct("v", F.negative("e2").alias("r"))).alias("m"), F.sort_array(F.collect_list("v"), False).alias("vs"))  # the rights of one left
+        bids = top_two.select((-F.col("m.r")).alias("e2"), F.col("e1").alias("owner"), F.col("m.v").alias("v"), F.coalesce(F.get("vs", F.lit(1)), F.lit(0.0)).alias("second"))
+        bids = bids.join(state.select("e2", F.col("price").alias("was")), "e2", "left").select("e2", "owner", (F.coalesce("was", F.lit(0.0)) + F.col("v") - F.col("second") + step).alias("price"))
         bids = shelf.put(bids.groupBy("e2").agg(F.max(F.struct("price", F.negative("owner").alias("o"))).alias("m")).select("e2", (-F.col("m.o")).alias("owner"), F.col("m.price").alias("price")), "bids")
         if bids.isEmpty():
             return state.select(F.col("owner").alias("e1"), "e2").join(edges, ["e1", "e2"]).select("e1", "e2", "score")
+        n += 1
+        if n > rounds * (3 + math.log2(max(top, eps) / eps)) + 10_000:
+            raise RuntimeError("bidding did not end")
         nxt = shelf.put(state.join(bids.select("e2"), "e2", "left_anti").unionByName(bids), "prices")
         shelf.drop(state)
         state = nxt
 
 
-def assign(confidence: DataFrame, shelf: Shelf, task_edges: int = 5_000) -> DataFrame:
-    """(e1, e2, score): one-to-one, of greatest total confidence.
+def assign(confidence: DataFrame, shelf: Shelf, task_edges: int = 200_000) -> DataFrame:
+    """(e1, e2, score): one-to-one, of greatest total confidence.  Lefts and rights have different numbers.
 
     Pairs without a rival are taken as they are; contested ones are solved
-    component by component in tasks; components of more than ``task_edges``
-    pairs by distributed bidding rounds.
+    exactly, component by component, in tasks; components of more than
+    ``task_edges`` pairs by ``bidding`` (within its step a record).
     """
     ship(confidence.sparkSession)
-    groups = connected_components(confidence, "e1", "e2", None, shelf)
-    placed = confidence.join(groups.select(F.col("id").alias("e1"), F.col("group_id").alias("g")), "e1")
+    once = shelf.put(confidence.groupBy("e1", "e2").agg(F.max("score").alias("score")), "pairs")
+    groups = connected_components(once, "e1", "e2", None, shelf)
+    placed = once.join(groups.select(F.col("id").alias("e1"), F.col("group_id").alias("g")), "e1")
     placed = shelf.put(placed, "placed")
     size = shelf.put(placed.groupBy("g").agg(F.count(F.lit(1)).alias("edges")), "sizes")
     sized = placed.join(size, "g")
@@ -391,7 +475,7 @@ def assign(confidence: DataFrame, shelf: Shelf, task_edges: int = 5_000) -> Data
     some = sized.filter((F.col("edges") > 1) & (F.col("edges") <= task_edges)).select("g", "e1", "e2", "score")
     out = alone.unionByName(some.groupBy("g").applyInPandas(_assign_component, "e1 long, e2 long, score double"))
     if not size.filter(F.col("edges") > task_edges).isEmpty():
-        out = out.unionByName(_auction_rounds(shelf.put(sized.filter(F.col("edges") > task_edges).select("e1", "e2", "score"), "large"), shelf))
+        out = out.unionByName(bidding(shelf.put(sized.filter(F.col("edges") > task_edges).select("e1", "e2", "score"), "large"), shelf))
     return out
 
 
@@ -411,15 +495,15 @@ def match_entities(left: DataFrame, right: DataFrame, left_cols=("id", "current_
     """
     shelf = Shelf(left.sparkSession, "match")
     rows = records(left, 0, *left_cols).unionByName(records(right, 1, *right_cols))
-    rows = shelf.put(with_core(shelf.put(rows, "records")), "fields")
+    rows = without_empty_trades(shelf.put(rows, "records"))
+    rows = with_core(shelf.put(rows, "trades")).withColumnRenamed("id", "own_id")
+    rows = shelf.put(rows.withColumn("id", F.monotonically_increasing_id()), "fields")  # ids of the two sources may coincide, and be of any size
     scored = shelf.put(scored_neighbours(rows, shelf, window, threshold), "scored")
-    node = lambda i, s: (F.col(i) * 2 + F.col(s)).alias("n")  # noqa: E731  # ids of the two sources may coincide
     same = scored.filter((F.col("s1") == F.col("s2")) & (F.col("score") >= same_source))
-    entity = connected_components(same.select(node("id1", "s1").alias("a"), node("id2", "s2").alias("b")), "a", "b", rows.select(node("id", "src")), shelf)
-    entity = shelf.put(entity.select(F.col("id").alias("n"), F.col("group_id").alias("e")), "entities")
-    e1, e2 = entity.select(F.col("n").alias("n1"), F.col("e").alias("e1")), entity.select(F.col("n").alias("n2"), F.col("e").alias("e2"))
-    cross = scored.filter(F.col("s1") != F.col("s2")).select(node("id1", "s1").alias("n1"), node("id2", "s2").alias("n2"), "score")
-    confidence = shelf.put(cross.join(e1, "n1").join(e2, "n2").groupBy("e1", "e2").agg(F.max("score").alias("score")), "confidence")
+    entity = connected_components(same, "id1", "id2", rows.select("id"), shelf).select("id", F.col("group_id").alias("e"))
+    entity = shelf.put(entity.join(rows.select("id", "src", "own_id"), "id"), "entities")
+    of = lambda k: entity.select(F.col("id").alias(f"id{k}"), F.col("e").alias(f"e{k}"))
+    confidence = scored.filter(F.col("s1") != F.col("s2")).join(of(1), "id1").join(of(2), "id2").select("e1", "e2", "score")
     one = assign(confidence, shelf)
-    ids = lambda e, i: entity.select(F.col("e").alias(e), F.shiftright("n", 1).alias(i))
-    return one.join(ids("e1", "left_id"), "e1").join(ids("e2", "right_id"), "e2").select("left_id", "right_id", F.col("score").alias("confidence"))
+    ids = lambda s, e, i: entity.filter(F.col("src") == s).select(F.col("e").alias(e), F.col("own_id").alias(i))
+    return one.join(ids(0, "e1", "left_id"), "e1").join(ids(1, "e2", "right_id"), "e2").select("left_id", "right_id", F.col("score").alias("confidence"))

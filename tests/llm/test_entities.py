@@ -40,6 +40,25 @@ def test_entities(spark):
     assert entity_match.match_entities(l.limit(0), r, ("id", "name", "lat", "lon"), ("id", "name", "lat", "lon")).count() == 0
 
 
+def test_ids_of_any_size_and_short_names(spark):
+    big = 2**63 - 1
+    left = [company(big, "BMW AG", 52.1, 13.1, "Halstedt", None, None, None, None), company(-big, "AEG", 48.0, 9.0, "Kenwalde", None, None, None, None)]
+    right = [company(big, "BMW A.-G.", 52.1, 13.1, "Halstedt", None, None, None, None), company(2**62 + 1, "AEG", 48.0, 9.0, "Kenwalde", None, None, None, None)]
+    cols = ("id", "name", "lat", "lon")
+    got = entity_match.match_entities(spark.createDataFrame(left, COLS), spark.createDataFrame(right, COLS), cols, cols)
+    assert rows(got, "left_id", "right_id") == [(-big, 2**62 + 1), (big, big)]
+    assert got.filter("confidence < 9").count() == 0  # place, city and name
+
+
+def test_trades_that_tell_nothing(spark):
+    data = [(k, "brauerei" if k < 30 else ("nachtrag" if k % 2 else "spinnerei"), 18800101 + k // 2, 5, 1.0, 2.0) for k in range(60)] + [(90, None, None, None, None, None)]
+    d = spark.createDataFrame(data, "id long, trade string, found int, capital long, lat double, lon double")
+    # every odd record of the second half bears the remark beside a spinnery, which stands beside itself as well
+    more = [(100 + k, "spinnerei", 18900101 + k // 3, 7, 1.0, 2.0) for k in range(60)]
+    got = entity_match.without_empty_trades(d.unionByName(spark.createDataFrame(more, d.schema)))
+    assert {r["trade"] for r in got.collect()} == {"brauerei", "spinnerei", None} and got.count() == 121
+
+
 def best_total(edges):
     lefts = sorted({a for a, _, _ in edges})
     score = {(a, b): c for a, b, c in edges}
@@ -47,24 +66,34 @@ def best_total(edges):
     return max(sum(score.get((a, b), 0) if b is not None else 0 for a, b in zip(lefts, p)) for p in itertools.permutations(rights, len(lefts)))
 
 
-def test_assignment_is_best(spark):
+def test_assignment_is_best():
     rng = random.Random(6)
-    for _ in range(25):
-        edges = [(a, b, rng.randrange(12, 50) / 2) for a in range(4) for b in range(10, 14) if rng.random() < 0.6]
-        if not edges:
-            continue
-        mine = entity_match.auction(edges, 0.5 / 5 / 2)
+    for n in range(300):
+        k = 2 + n % 4
+        edges = [(a, b, rng.choice([rng.randrange(1, 50) / 2, 6.0])) for a in range(k) for b in range(10, 10 + rng.randrange(1, 5)) if rng.random() < 0.7]
+        mine = entity_match.best_assignment(edges)
         score = {(a, b): c for a, b, c in edges}
-        assert len(set(mine.values())) == len(mine) and sum(score[x] for x in mine.items()) == best_total(edges)
+        assert len(set(mine.values())) == len(mine) and sum(score[x] for x in mine.items()) == (best_total(edges) if edges else 0)
+
+
+def test_assignment_of_a_large_component():
+    rng = random.Random(5)
+    edges = [(a, 10**6 + (a * 7 + rng.randrange(40)) % 4000, rng.randrange(12, 50) / 2) for a in range(5000) for _ in range(6)]
+    mine = entity_match.best_assignment(edges)
+    assert len(set(mine.values())) == len(mine) > 3900
 
 
-def test_assignment_paths_agree(spark):
+def test_assignment_paths_agree(spark, monkeypatch):
     rng = random.Random(8)
-    edges = [(10 * g + a, 1000 + 10 * g + b, rng.randrange(12, 50) / 2) for g in range(6) for a in range(3) for b in range(3) if a == b or rng.random() < 0.5]
-    d = spark.createDataFrame(edges, "e1 long, e2 long, score double")
+    edges = [(10 * g + a, 1000 + 10 * g + b, rng.randrange(12, 50) / 2) for g in range(4) for a in range(3) for b in range(3) if a == b or rng.random() < 0.5]
+    d = spark.createDataFrame(edges + edges[:3], "e1 long, e2 long, score double")
     total = lambda df: df.agg(F.sum("score")).first()[0]
-    a, b = entity_match.assign(d, Shelf(spark, "t")), entity_match.assign(d, Shelf(spark, "t"), task_edges=2)
-    assert total(a) == pytest.approx(total(b), abs=0.05 * 18)
+    a = entity_match.assign(d, Shelf(spark, "t"))
+    put, rounds = Shelf.put, []
+    monkeypatch.setattr(Shelf, "put", lambda self, df, name="t", *x: rounds.append(name) or put(self, df, name, *x))
+    b = entity_match.bidding(d.distinct(), Shelf(spark, "t"), eps=0.5, rounds=3)
+    assert total(a) == pytest.approx(total(b), abs=24 * 12) and total(b) >= total(a) / 2
+    assert rounds.count("bids") <= 3 * (2 + 6) + 3
     assert b.groupBy("e1").count().filter("count > 1").isEmpty() and b.groupBy("e2").count().filter("count > 1").isEmpty()
 
 
@@ -73,9 +102,9 @@ def test_window_reaches_across_partitions(spark):
     sketch |= {"id": list(range(40)), "capital": [5] * 40, "found": [18900101] * 40, "lat": [1.0] * 40, "lon": [1.0] * 40}
     d = spark.createDataFrame(list(zip(*sketch.values())), ", ".join(f"{c} {'double' if c in ('lat', 'lon') else 'long'}" for c in sketch))
     kinds = ", ".join(f"{c} double" if c in ("rest", "lat", "lon") else f"{c} long" for c in (*entity_match._PAIR, *entity_match._SKETCH, "at", "part", "rows"))
-    met = d.repartitionByRange(4, "id").sortWithinPartitions("id").mapInArrow(entity_match._slide(3, 1.0), f"kind int, {kinds}").collect()
-    got = {(r["id1"], r["id2"]) for r in met if r["kind"] == 0} | {(x[1], x[3]) for x in entity_match._across([r.asDict() for r in met if r["kind"] == 1], 3, 1.0)}
-    assert got == {(a, a + k) for a in range(40) for k in (1, 2, 3) if a + k < 40}
+    met = d.repartitionByRange(16, "id").sortWithinPartitions("id").mapInArrow(entity_match._slide(3, 1.0), f"kind int, {kinds}")
+    got = rows(met.filter("kind = 0"), "id1", "id2") + rows(entity_match.across_ends(met.filter("kind = 1"), 3, 1.0), "id1", "id2")
+    assert sorted(got) == [(a, a + k) for a in range(40) for k in (1, 2, 3) if a + k < 40]  # partitions of two or three rows, each pair once
 
 
 NAMES = [

@@ -79,6 +79,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return dual_tree.near_pairs(read(spark, d, "companies_left"), read(spark, d, "companies_right"), 250.0, ("id", "lat", "lon"), ("id", "lat_noise", "lon_noise"), "loaded_at")
 
 
+@query(f"""
+WITH l AS ({_located('companies_left', 'lat', 'lon')}),
+lb AS (SELECT *, CAST(floor(lat * 100) AS BIGINT) AS band FROM l),
+rb AS (SELECT l.*, CAST(floor(lat * 100) AS BIGINT) + d AS band FROM l, (VALUES (-1), (0), (1)) v(d))
+SELECT lb.id AS left_id, rb.id AS right_id FROM lb JOIN rb USING (band)
+WHERE lb.id < rb.id AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(rb.lat - lb.lat) / 2), 2)
+      + cos(radians(lb.lat)) * cos(radians(rb.lat)) * pow(sin(radians(rb.lon - lb.lon) / 2), 2)))) <= 0.1""")
+def p1_near_within(spark: SparkSession, d: str) -> DataFrame:
+    return dual_tree.near_within(read(spark, d, "companies_left"), 100.0, order_col="loaded_at")
+
+
+@query(f"""
+WITH l AS (SELECT city, lat, lon FROM companies_left JOIN ({_located('companies_left', 'lat', 'lon')}) USING (id, lat, lon) WHERE city IS NOT NULL),
+region AS (SELECT city, median(lat) AS y, median(lon) AS x FROM l GROUP BY city)
+SELECT DISTINCT r.id, region.city AS region_id FROM ({_located('companies_right', 'lat_noise', 'lon_noise')}) r JOIN region
+  ON abs(r.lat - y) + abs(r.lon - x) <= 0.06""")
+def p1_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The city districts, diamonds around the middle of a city's companies, that hold a company of the other source."""
+    l = read(spark, d, "companies_left").filter(dual_tree.valid_location(F.col("lat"), F.col("lon")) & F.col("city").isNotNull())  # noqa: E741
+    middle = l.groupBy("city").agg(F.median("lat").alias("y"), F.median("lon").alias("x"))
+    corner = lambda dy, dx: F.struct((F.col("y") + dy).alias("lat"), (F.col("x") + dx).alias("lon"))
+    regions = middle.select("city", F.array(corner(0.06, 0.0), corner(0.0, 0.06), corner(-0.06, 0.0), corner(0.0, -0.06)).alias("ring"))
+    return dual_tree.containing_regions(read(spark, d, "companies_right"), regions, ("id", "lat_noise", "lon_noise"), ("city", "ring"), "loaded_at")
+
+
 # --- cleaning ----------------------------------------------------------------------------------------------------
 
 

@@ -218,11 +218,46 @@ def test_dual_tree_against_brute_force(spark):
     a += [(500 + k, 48.0, 8.0) for k in range(30)]
     b += [(1500 + k, 48.0, 8.0) for k in range(30)] + [(1600, 0.0, 0.0), (1601, None, 3.0), (1602, float("nan"), 3.0), (1603, 95.0, 3.0), (None, 48.0, 8.0), (1500, 48.0, 8.0)]
     l, r = spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "id long, lat double, lon double").withColumn("node", F.lit("clash"))
-    got = rows(dual_tree.near_pairs(l, r, 250.0), "left_id", "right_id")
+    got = rows(dual_tree.near_pairs(l, r, 250.0, spot_ids=7), "left_id", "right_id")  # crowded spots dealt over keys
     assert got == brute_near(a, [x for x in b[:-6]], 250.0)
     assert dual_tree.near_pairs(l.limit(0), r, 250.0).count() == 0
 
 
+def test_only_points_below_decided_nodes_are_shuffled(spark):
+    spots = spark.createDataFrame([(k / 40, k / 40) for k in range(-1600, 1600)], "lat double, lon double")
+    at = dual_tree._locations(spots)
+    some = at.limit(5).withColumn("node", dual_tree._node(F.lit(16))).select(F.col("node").alias("a"))
+    few = dual_tree._below(at, [(16, 5, some)], "a")
+    assert few.count() == 5 and {r[0] for r in few.select("level").distinct().collect()} == {16}
+    assert dual_tree._below(at, [(16, 10**9, some)], "a").count() == 3200  # one level, not all levels
+
+
+def in_ring(ring, y, x):
+    odd = False
+    for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
+        if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(y1, y2) <= y <= max(y1, y2) and min(x1, x2) <= x <= max(x1, x2):
+            return True
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_regions_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(k, rng.choice([rng.uniform(-90, 90), rng.gauss(50, 0.2)]), rng.choice([rng.uniform(-180, 180), rng.gauss(8, 0.2)])) for k in range(400)] + [(900 + k, 50.0, 8.0) for k in range(60)] + [(990, 49.0, 7.0)]
+    star = lambda y, x, r, n: [(y + r * (1 if k % 2 else 0.4) * math.sin(2 * math.pi * k / n), x + r * (1 if k % 2 else 0.4) * math.cos(2 * math.pi * k / n)) for k in range(n)]
+    rings = {f"s{k}": star(rng.gauss(50, 0.2), rng.gauss(8, 0.2), rng.choice([0.01, 0.1, 0.5]), 10) for k in range(25)}
+    rings |= {"world": [(-90.0, -180.0), (-90.0, 180.0), (90.0, 180.0), (90.0, -180.0)], "square": [(49.0, 7.0), (49.0, 8.0), (50.0, 8.0), (50.0, 7.0)], "far": star(100.0, 300.0, 5, 6), "speck": star(50.0, 8.0, 1e-9, 6)}
+    want = sorted((i, name) for i, y, x in points for name, ring in rings.items() if in_ring(ring, y, x))
+    bad = [(None, [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]), ("two", [(0.0, 0.0), (80.0, 80.0)]), ("null", None), ("gap", [(0.0, 0.0), (None, 90.0), (90.0, 0.0)]), ("square", rings["square"])]
+    r = spark.createDataFrame([*rings.items(), *bad], "id string, ring array<struct<lat: double, lon: double>>").withColumn("lat", F.lit("clash"))
+    p = spark.createDataFrame(points + points[:9] + [(None, 50.0, 8.0), (991, None, 8.0), (992, float("nan"), 8.0), (993, 0.0, 0.0)], "id long, lat double, lon double").withColumn("ring", F.lit("clash"))
+    assert rows(dual_tree.containing_regions(p, r, leaf=3, spot_ids=20), "id", "region_id") == want
+    assert dual_tree.containing_regions(p.limit(0), r).count() == 0 and dual_tree.containing_regions(p, r.limit(0)).count() == 0
+
+
 def test_synthetic_rows(spark):
     data = [(k, f"name {k}", 20 + 3 * k, f"city{k % 4}", 1000.0 + 90 * k) for k in range(10)]
     r = spark.createDataFrame(data, "rid long, name string, age long, city string, salary double")

@@ -146,18 +146,85 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), ev).count() == 0 and leakage.find_leaks(d, ev.limit(0)).count() == 0
 
 
-def test_seeds_against_brute_force():
+def test_leaks_in_any_script(spark):
+    rng = random.Random(17)
+    russian = "весной старый мельник продал лодку соседу потому что вода спала после долгого дождя и рынок опустел когда купцы ушли домой через широкий мост у реки".split()
+    digits = [str(rng.randrange(10, 10_000)) for _ in range(60)]
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(60)]
+    items = [(1, " ".join(russian)), (2, " ".join(digits)), (3, "".join(han)), (4, "kurz und klein " * 3), (5, "Ærlig Øl œuvre " + " ".join(passage(rng, 40)))]
+    other = " ".join(passage(rng, 50))
+    shifted = " ".join("".join(str((int(c) + 5) % 10) for c in w) for w in digits)
+    data = [
+        (1, other + " " + " ".join(russian[:14]) + "\nобъявление дня\n" + " ".join(russian[14:]).upper()), (2, other + shifted), (3, other + " " + ", ".join(digits[10:50])), (4, "".join(han[5:38]) + "。" + other),
+        (5, "".join(han[5:20]) + other), (6, items[4][1].replace("Æ", "æ") + other), (7, "kurz und klein " * 900), (8, "x " * 60_000), (9, "весной старый мельник " + other),
+    ]
+    ev = spark.createDataFrame(items, "item_id long, passage string")
+    found = leakage.find_leaks(spark.createDataFrame(data, "doc_id long, text string"), ev)
+    assert rows(found, "item_id", "doc_id") == [(1, 1), (2, 3), (3, 4), (5, 6)]
+    assert rows(found, "doc_id", "longest")[0] == (1, len("".join(russian[:14]))) or rows(found, "doc_id", "longest")[0][1] >= len("".join(russian[14:]))
+
+
+def test_foreign_lines_of_any_length(spark):
+    rng = random.Random(2)
+    w = passage(rng, 44)
+    d = spark.createDataFrame([(1, " ".join(w[:22]) + "\n" + "verkaufe billig 7 Pferde; " * 150 + "\n" + " ".join(w[22:])), (2, " ".join(w[22:]) + "\n" + " ".join(w[:22]))], "doc_id long, text string")
+    found = leakage.find_leaks(d, spark.createDataFrame([(0, " ".join(w))], "item_id long, passage string")).collect()
+    assert [(r["doc_id"], r["words"]) for r in found] == [(1, 44)]
+
+
+def test_twenty_five_words(spark):
+    rng = random.Random(3)
+    w = passage(rng, 60)
+    cut = lambda a, b: " ".join(passage(rng, 20)) + " | " + " ".join(w[a:b]) + " | " + " ".join(passage(rng, 20))
+    bad = list(w)
+    bad[10] = bad[10][:1] + "qq" + bad[10][2:]  # the first word misread
+    d = spark.createDataFrame([(1, cut(10, 35)), (2, cut(10, 33)), (3, "zz " + " ".join(bad[10:35]) + " zz")], "doc_id long, text string")
+    assert rows(leakage.find_leaks(d, spark.createDataFrame([(0, " ".join(w))], "item_id long, passage string")), "doc_id") == [(1,), (3,)]
+
+
+def test_many_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    rng = random.Random(5)
+    items = [(k, " ".join(passage(rng, 40))) for k in range(7)]
+    d = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
+    assert rows(leakage.find_leaks(d, spark.createDataFrame(items, "item_id long, passage string")), "item_id", "doc_id") == [(k, k) for k in range(7)]
+
+
+def brute_matches(items, texts, seed):
+    out = set()
+    for i, a in enumerate(items):
+        for d, b in enumerate(texts):
+            for p in range(len(a)):
+                for t in range(len(b)):
+                    if p and t and a[p - 1] == b[t - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n]:
+                        n += 1
+                    if n >= seed:
+                        out.add((i, d, p, t, n))
+    return out
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "".join(chr(0x430 + k) for k in range(32)) + "abcdefghij", "".join(chr(0x4E00 + k) for k in range(900))])
+def test_matches_against_brute_force(alphabet):
     rng = random.Random(1)
-    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
-    items = leakage.Items([0, 1], [text(30), text(30)])
-    shard = leakage.Letters([text(200), None, text(150)])
-    t, pos = leakage.seeds(items, shard)
-    n = leakage.SEED
-    want = set()
-    for k, s in enumerate(items.letters.starts):
-        if items.letters.ends[items.item_of[k]] - s < n:
-            continue
-        for p in shard.starts:
-            if list(shard.codes[p : p + n]) == list(items.letters.codes[s : s + n]):
-                want.add((k, int(p)))
-    assert set(zip(t.tolist(), pos.tolist())) == want
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(6)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages, texts = [text(14), text(9), ""], [text(40), None, text(25), "", text(3)]
+    items, shard = leakage.Items([0, 1, 2], passages), leakage.SuffixArray(leakage.Letters(texts))
+    got = leakage.matches(items, shard, shard.rank_of[items.letters.codes])
+    begin = shard.letters.begin
+    have = {(int(i), int(d), int(p), int(t - begin[d]), int(n)) for i, d, p, t, n in zip(*(got[c] for c in ("item", "text", "place", "pos", "letters")))}
+    plain = lambda ts: ["".join(chr(leakage.fold_letter(c)) for c in t or "" if c != " ") for t in ts]
+    seeds = [leakage.SEED_DENSE if d else leakage.SEED for d in items.dense]
+    assert have == {x for i in range(3) for x in brute_matches([""] * i + [plain(passages)[i]], plain(texts), seeds[i]) if x[0] == i}
+    suffixes = ["".join(map(chr, shard.codes[p : shard.letters.ends[shard.letters.text_of(p)]]))[: leakage.SEED] for p in shard.order]
+    assert suffixes == sorted(suffixes) and len(suffixes) == len("".join(plain(texts)))
+
+
+def test_letters_of_any_script():
+    fold = lambda t: "".join(chr(c) if c else "|" for c in leakage.Letters([t]).codes)
+    assert fold("Ärger, ſo 12½ e\u0301tude ﬁn") == "argerso12½etudefn|".replace("½", fold("½")[0])
+    assert fold("Й й") == "ии|" and fold("œ Œ") == "œœ|" and fold("١٢") == "12|" and fold("漢字。") == "漢字|"
+    assert len(leakage.Letters(["a\u0308u b"]).starts) == 2 and len(leakage.Letters(["漢字 ab"]).starts) == 3

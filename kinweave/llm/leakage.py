@@ -16,7 +16,7 @@ SHARD_LETTERS = 2_000_000
 #: Letters of a verbatim match that make it a seed; where every letter is a word (Chinese, Japanese, Thai), fewer.
 SEED, SEED_DENSE = 20, 5
 #: Letters that a chain of seeds must hold, less its prices, before running words are looked at.
-CHAIN, CHAIN_DENSE = 60, 12
+CHAIN, CHAIN_DENSE = 55, 12
 #: Evaluation items of one block; a task searches its shard for one block after the other.
 ITEM_BLOCK = 5_000
 #: Blocks that a task keeps prepared between shards.
@@ -29,6 +29,9 @@ _SPLIT, _MARK = 0, 1  # what is no letter, and what belongs to the letter before
 #: Scripts written without spaces: every letter counts as a word. Fixed values (Unicode blocks).
 _DENSE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
+#: White space, which parts words. Fixed values (Unicode).
+_BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
 _folded = np.zeros(_POINTS, np.uint32)
 _known = np.zeros(_POINTS, bool)
 _dense = np.zeros(_POINTS, bool)
@@ -70,7 +73,10 @@ class Letters:
         seen = codes != _MARK  # accents neither count nor part words
         codes, raw, stop = codes[seen], raw[seen], stop[seen]
         solid = codes != _SPLIT
-        first = solid & (_dense[raw] | ~np.concatenate([[False], solid[:-1]]))
+        blank = np.isin(raw, _BLANK) | stop
+        last = np.maximum.accumulate(np.where(solid | blank, np.arange(len(raw)), -1))  # a word goes on over signs inside it
+        prior = np.concatenate([[-1], last[:-1]])
+        first = solid & (_dense[raw] | (prior < 0) | blank[np.maximum(prior, 0)])
         kept = solid | stop
         self.codes = codes[kept]
         self.ends = np.flatnonzero(stop[kept])
@@ -357,15 +363,29 @@ def _end_words(passage: Passage, text: np.ndarray, word: int, place: int, at: in
         if len(mine):
             slips, k = _slips(mine, theirs)
             if slips * 3 > whole:
-                break
+                return n + _after_lines(passage, text, word, at, step, most - n)
             at += step * k
         place = b if step > 0 else a
         n, word = n + 1, word + step
     return n
 
 
-def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[int, float, int]:
-    """(words, share, letters): the longest stretch of running words of the passage in the text.
+def _after_lines(passage: Passage, text: np.ndarray, word: int, at: int, step: int, most: int, letters: int = 200) -> int:
+    """How many words from ``word`` on (or back) stand, letter by letter, beyond foreign lines of the next ``letters``."""
+    ends = np.concatenate([passage.starts, [len(passage.codes)]])
+    for k in range(most, 0, -1):
+        a, b = (word, word + k) if step > 0 else (word - k + 1, word + 1)
+        if a < 0 or b > len(passage.starts):
+            continue
+        mine = passage.codes[ends[a] : ends[b]].astype("<u4").tobytes()
+        room = (text[at : at + letters] if step > 0 else text[max(0, at - letters) : at]).astype("<u4").tobytes()
+        if len(mine) >= 4 * 4 and any(room[x : x + len(mine)] == mine for x in range(0, len(room) - len(mine) + 1, 4)):
+            return k
+    return 0
+
+
+def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[int, float, int, float]:
+    """(words, share, letters, net): the longest stretch of running words of the passage in the text.
 
     Short verbatim pieces of both are chained in order; within a chain letters
     may be misread, lost or added, and foreign lines of any length may stand
@@ -373,12 +393,13 @@ def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[
     letters.  Of the words the best chain covers, the stretch is taken in which
     covered words most outweigh missing ones; a misread word at either end is
     added where the text goes on with it.  words is its length, share the part of
-    it that is recognised, letters the covered letters of the passage.
+    it that is recognised, letters the covered letters of the passage, net these less the
+    prices as a part of the letters of the stretch (scattered stock phrases pay for their jumps).
     """
     starts, letters_of = passage.starts, len(passage.codes)
     gt, sp = _grams(text, passage.gram, passage.bits), passage.grams
     if not len(sp) or not len(gt) or not len(starts):
-        return 0, 0.0, 0
+        return 0, 0.0, 0, 0.0
     lo = np.searchsorted(sp, gt, "left")
     some = np.flatnonzero(sp[np.minimum(lo, len(sp) - 1)] == gt)
     lo = lo[some]
@@ -386,7 +407,7 @@ def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[
     t = np.repeat(some, n)
     p = passage.order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     if not len(p):
-        return 0, 0.0, 0
+        return 0, 0.0, 0, 0.0
     diag = t - p
     o = np.lexsort((p, diag))
     p, diag = p[o], diag[o]
@@ -402,7 +423,7 @@ def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[
         np.add.at(edge, a, 1)
         np.add.at(edge, end, -1)
         if (share_of(np.cumsum(edge)[:-1] > 0) >= 0.5).sum() < enough:
-            return 0, 0.0, 0
+            return 0, 0.0, 0, 0.0
     score, back = size.astype(np.float64), np.full(m, -1)
     for j0 in range(0, m, 256):  # the gain of reaching piece j from piece i, for 256 pieces at once
         js = np.arange(j0, min(m, j0 + 256))
@@ -431,7 +452,7 @@ def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[
     letters = int(covered.sum())
     hit = share_of(covered) >= 0.5
     if not hit.any():
-        return 0, 0.0, letters
+        return 0, 0.0, letters, 0.0
     sums = np.concatenate([[0.0], np.cumsum(np.where(hit, 1.0, -2.5))])
     lowest = np.minimum.accumulate(sums)
     stop = int(np.argmax(sums - lowest))
@@ -440,7 +461,8 @@ def running_words(passage: Passage, text: np.ndarray, enough: int = 0) -> tuple[
     inside = np.flatnonzero(covered[starts[begin] : starts[stop] if stop < len(starts) else letters_of]) + starts[begin]
     first, last = int(inside[0]), int(inside[-1])
     more = _end_words(passage, text, begin - 1, first, int(where[first]), -1) + _end_words(passage, text, stop, last + 1, int(where[last]) + 1, 1)
-    return words + more, (known + more) / max(words + more, 1), letters
+    whole = int(passage.bounds[begin:stop].sum())
+    return words + more, (known + more) / max(words + more, 1), letters, float(score.max()) / max(whole, 1)
 
 
 _OUT = "words int, share double, longest int, letters int"
@@ -462,7 +484,7 @@ def _block(file: str, least_words: int) -> Items:
     return _blocks[key]
 
 
-def _search(id_type: pa.DataType, item_type: pa.DataType, files: list[str], id_name: str, item_name: str, least_words: int, least_share: float):
+def _search(id_type: pa.DataType, item_type: pa.DataType, files: list[str], id_name: str, item_name: str, least_words: int, least_share: float, least_net: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enough = int((least_words - 2) * least_share)
 
@@ -477,8 +499,8 @@ def _search(id_type: pa.DataType, item_type: pa.DataType, files: list[str], id_n
                 rows = []
                 for i, d, longest in candidates(items, matches(items, index, codes)):
                     passage = items.passage(i, codes, index.bits)
-                    words, share, covered = running_words(passage, index.codes[letters.begin[d] : letters.ends[d]], enough)
-                    if words >= least_words and share >= least_share:
+                    words, share, covered, net = running_words(passage, index.codes[letters.begin[d] : letters.ends[d]], enough)
+                    if words >= least_words and share >= least_share and net >= least_net:
                         rows.append((ids[d], items.ids[i], words, share, longest, covered))
                 if rows:
                     c = list(zip(*rows))
@@ -514,7 +536,7 @@ def _shared_items(items: DataFrame, item_col: str, passage_col: str, shelf: Shel
     return sorted(names)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 25, least_share: float = 0.88) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_words: int = 25, least_share: float = 0.88, least_net: float = 0.55) -> DataFrame:
     """(doc, item, words, share, longest, letters): documents that hold a passage, wholly or in part.
 
     Every row of ``docs`` is searched whole for every passage.  Case, accents,
@@ -530,7 +552,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     longest of all); where those of one passage cover enough of it in one
     document, the document is read for running words, over misread letters and
     foreign lines.  At least ``least_words`` words, of which ``least_share`` are
-    recognised, are a leak.  The corpus is read once and not shuffled.  The items
+    recognised, are a leak, if the letters of the chain less its prices are ``least_net`` of their letters.  The corpus is read once and not shuffled.  The items
     lie in files of ITEM_BLOCK rows that every executor fetches once.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -539,7 +561,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ship(spark)
     kind, item_kind = docs.schema[id_col].dataType, items.schema[item_col].dataType
     files = _shared_items(items, item_col, passage_col, Shelf(spark, "leaks"))
-    run = _search(to_arrow_type(kind), to_arrow_type(item_kind), files, id_col, item_col, least_words, least_share)
+    run = _search(to_arrow_type(kind), to_arrow_type(item_kind), files, id_col, item_col, least_words, least_share, least_net)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, {_OUT}")
 
 

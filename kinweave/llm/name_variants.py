@@ -12,10 +12,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from kinweave.operators.closure import linked_pairs
 from kinweave.operators.components import connected_components
 from kinweave.runtime import Shelf, rows_of, ship, skew_lookup
 
@@ -41,21 +43,26 @@ TITLES = frozenset("dr prof jur phil med ing geh komm kommerzienrat justizrat ra
 #: How a generation is written. Fixed values.
 GENERATIONS = {**dict.fromkeys("jun jr junior jungere jungerer sohn".split(), "J"), **dict.fromkeys("sen sr senior altere alterer vater".split(), "S")}
 
-#: Words and letters of legal forms. Fixed values.
-LEGAL = frozenset("ag aktiengesellschaft gesellschaft actien aktien akt act ges gmbh kgaa kg kommanditgesellschaft genossenschaft eingetragene eingetr gen egen haftung beschrankter beschrankte auf mit gebruder".split())
-
-#: The trades of organisations by the letters their words and short forms begin with. Fixed values.
-TRADES = (
-    "bauges", "braunk", "brau", "brotf", "dampfsch", "druck", "eiseng", "elek", "el", "farbw", "feuerv", "gasanst", "gerb", "glash", "handelsb", "kaligew", "kleinb", "kons", "lederf", "masch", "mobelf", "muhlenw", "papierf", "porz", "portl",
-    "sagew", "seifenf", "spinn", "stahlw", "tabakm", "terrain", "verl", "vorsch", "web", "ziegelw", "zuckerr",
+#: Words and letters of legal forms, German and others. Fixed values.
+LEGAL = frozenset(
+    "ag aktiengesellschaft gesellschaft actien aktien akt act ges gmbh kgaa kg ohg kommanditgesellschaft genossenschaft eingetragene eingetr gen egen haftung beschrankter beschrankte auf mit gebruder "
+    "inc ltd limited llc llp plc corp corporation company incorporated sarl sas spa srl snc bv nv oyj aps".split()
+)
+#: Legal forms written in single letters, which count where nothing else of a name follows. Fixed values.
+LETTERED = frozenset("ag gmbh kgaa kg eg ohg bv nv sa spa srl ab as oy".split())
+
+#: What words for a trade or an establishment end in. Fixed values (German word formation).
+TRADE_HEADS = (
+    "werk", "werke", "fabrik", "fabriken", "erei", "ereien", "anstalt", "bank", "bahn", "gesellschaft", "hutte", "grube", "zeche", "gewerkschaft", "versicherung", "schiffahrt", "schifffahrt", "manufaktur", "verein", "verlag", "muhle", "muhlen", "handlung", "raffinerie",
+    "kasse", "reederei", "apotheke",
 )
-_TRADE_WORDS = {
-    "baugesellschaft": "bauges", "braunkohlengrube": "braunk", "brauerei": "brau", "brotfabrik": "brotf", "dampfschiffahrt": "dampfsch", "druckerei": "druck", "eisengiesserei": "eiseng", "elektrizitatswerk": "elek", "farbwerke": "farbw",
-    "feuerversicherung": "feuerv", "gasanstalt": "gasanst", "gerberei": "gerb", "glashutte": "glash", "handelsbank": "handelsb", "kaligewerkschaft": "kaligew", "kleinbahn": "kleinb", "konservenfabrik": "kons", "lederfabrik": "lederf",
-    "maschinenfabrik": "masch", "mobelfabrik": "mobelf", "muhlenwerke": "muhlenw", "papierfabrik": "papierf", "porzellanfabrik": "porz", "portlandzementwerk": "portl", "sagewerk": "sagew", "seifenfabrik": "seifenf", "spinnerei": "spinn",
-    "stahlwerk": "stahlw", "tabakmanufaktur": "tabakm", "terraingesellschaft": "terrain", "verlagsanstalt": "verl", "vorschussbank": "vorsch", "weberei": "web", "ziegelwerke": "ziegelw", "zuckerraffinerie": "zuckerr",
-}
-_SHORT_PARTS = frozenset("fabr fbr werk w gr bk zem anst".split())
+
+#: Letters of scripts written without spaces, where one word may be a whole name. Fixed values (Unicode blocks).
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u1100-\u11ff\uac00-\ud7ff]")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_PARTICLES = ("von", "van", "der", "d", "die", "zu", "u", "und")
+#: The most words of roles that are taken to the tasks.
+MOST_ROLES = 200_000
 
 
 def fold_name(s: str) -> str:
@@ -88,20 +95,89 @@ def near(a: str, b: str, most: int) -> bool:
     return before[-1] <= most
 
 
+def _without(w: str, most: int) -> set[str]:
+    """A word with up to ``most`` letters left out."""
+    out = {w}
+    for _ in range(most):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
+class Slips:
+    """Words found again in spite of slips, by the letters left when some are left out of both."""
+
+    def __init__(self, words, two_from: int, least: int = 4):
+        self.two_from, self.least, self.index, self.longest = two_from, least, {}, 0
+        for w in words:
+            self.add(w)
+
+    def add(self, w: str) -> None:
+        if len(w) >= self.least:
+            self.longest = max(self.longest, len(w))
+            for x in _without(w, self.most(w)):
+                self.index.setdefault(x, []).append(w)
+
+    def most(self, w: str) -> int:
+        return 2 if len(w) >= self.two_from else 1
+
+    def near(self, t: str) -> list[tuple[int, bool, str]]:
+        """(slips, whether the first letter is one, word) of the words that ``t`` may be, the nearest first."""
+        if len(t) > self.longest + 2:
+            return []
+        met = {w for x in _without(t, 2 if len(t) >= self.two_from - 2 else 1) for w in self.index.get(x, ())}
+        return sorted((next(k for k in (0, 1, 2) if near(t, w, k)), w[0] not in t[:2], w) for w in met if near(t, w, self.most(w)))
+
+
+def _shortens(parts: list[str], word: str) -> bool:
+    """Whether the parts, one after the other, may be what is left of a longer word: beginnings of its parts, or its main letters."""
+    first = parts[0]
+    if len(first) < 2 or not word.startswith(first[:2]) or sum(map(len, parts)) >= len(word):
+        return False
+    at = 0
+    for n, p in enumerate(parts):
+        if n == 0 and word.startswith(p):
+            at = len(p)
+            continue
+        for k, c in enumerate(p):
+            hit = word.find(c, at)
+            if hit < 0 or (n == 0 and k < 3 and hit != k):
+                return False
+            at = hit + 1
+    return True
+
+
+class Roles(NamedTuple):
+    """Words of a column by what they do in its names: trades (the most usual first) with the rows that hold them, and remarks that name nobody."""
+
+    trades: tuple[tuple[str, int], ...] = ()
+    remarks: tuple[str, ...] = ()
+
+
 class NameReader:
     """Reads a typed name into (kind, own, first, pre, gen, trade).
 
-    kind is P (person) or F (organisation); own is the surname or own name in
-    plain sound; first is a known given name, pre the letters of a shortened
-    one; gen is J, S or empty; trade the trade's beginning or empty.
+    kind is P (person), F (organisation of a known trade) or W (a name whose
+    words have no known role, or an organisation of no known trade); own is the
+    surname in plain sound, of F and W all words that are no trade, remark or
+    legal form, in order of letters; first is a known given name, pre the letters
+    of a shortened one; gen is J, S or empty; trade the trade or empty.  Words of
+    any script are read.
     """
 
-    def __init__(self, given: dict[str, tuple[str, ...]] = GIVEN_NAMES, frequent: tuple[str, ...] = ()):
+    def __init__(self, given: dict[str, tuple[str, ...]] = GIVEN_NAMES, frequent: tuple[str, ...] = (), roles: Roles = Roles()):
+        self.trades = dict(roles.trades)
+        self.remarks = set(roles.remarks)
+        self.trade_slips = Slips([w for w in self.trades if len(w) >= 5], 8, 5)
+        self.fixed = {**dict.fromkeys((w for w in LEGAL if len(w) >= 6), "legal"), **dict.fromkeys((w for w in (*TITLES, *self.remarks) if len(w) >= 6), "title"), **dict.fromkeys((w for w in GENERATIONS if len(w) >= 6), "gen")}
+        self.fixed_slips = Slips(self.fixed, 8, 5)
         self.forms = {fold_name(f): fold_name(n) for n, fs in given.items() for f in (n, *fs)}
-        self.learned = {t for t in frequent if not self._begins(t) and self._classify(t)[0] in ("word", "short")}
-        self.forms |= {t: t for t in self.learned}
+        self.given_slips = Slips(self.forms, 7)
         self.cache: dict[str, tuple] = {}
         self.slips: dict[str, tuple[bool, bool, str] | None] = {}
+        self.learned = {t for t in frequent if not self._begins(t) and self._classify(t)[0] in ("word", "short")}
+        self.forms |= {t: t for t in self.learned}
+        self.given_slips = Slips(self.forms, 7)
+        self.cache.clear()
 
     def _begins(self, t: str) -> bool:
         return any(f.startswith(t) for f in self.forms)
@@ -111,8 +187,7 @@ class NameReader:
         if w not in self.slips:
             if len(self.slips) > 200_000:
                 self.slips.clear()
-            hit = [(not near(w, f, 1), f[0] not in w[:2], n) for f, n in self.forms.items() if len(f) >= 4 and near(w, f, 1 if len(f) < 7 else 2)]
-            self.slips[w] = min(hit, default=None)
+            self.slips[w] = min(((k > 1, onset, self.forms[f]) for k, onset, f in self.given_slips.near(w)), default=None)
         return self.slips[w]
 
     def _shorts(self, seen: list[tuple[str, str, str]]) -> list[str]:
@@ -122,7 +197,7 @@ class NameReader:
     def company(self, text: str) -> list[tuple[str, str]]:
         """(word, beside) of the words of a person's spelling that may be surnames or unlisted given names: beside each
         other where no given name or initial is told, beside nothing where one is or where the word stands alone."""
-        seen = [(t, *self._class(t)) for t in re.findall(r"[a-z]+", fold_name(text))]
+        seen = self._seen(text)
         if any(k in ("legal", "trade") for _, k, _ in seen):
             return []
         loose = {t for t, k, _ in seen if k in ("word", "short") and len(t) >= 3 and not self._begins(t)}
@@ -133,11 +208,22 @@ class NameReader:
     def _class(self, t: str) -> tuple[str, str]:
         got = self.cache.get(t)
         if got is None:
-            got = self.cache[t] = self._classify(t)
             if len(self.cache) > 200_000:
                 self.cache.clear()
+            got = self.cache[t] = self._classify(t)
         return got
 
+    def _short_trade(self, parts: tuple[str, ...]) -> str | None:
+        """The trade that the parts shorten, one that they begin before others, then the shortest; or one whose
+        beginning is a slip from them."""
+        key = " ".join(parts) + " "
+        if key not in self.slips:
+            hit = [(not w.startswith(parts[0]), len(w), -n, w) for w, n in self.trades.items() if _shortens(list(parts), w)] if sum(map(len, parts)) >= 3 else []
+            if not hit and len(parts) == 1 and len(parts[0]) >= 5:
+                hit = [(len(w), -n, w) for w, n in self.trades.items() if any(near(parts[0], w[: len(parts[0]) + k], 1) for k in (-1, 0, 1))]
+            self.slips[key] = min(hit)[-1] if hit else None
+        return self.slips[key]
+
     def _classify(self, t: str) -> tuple[str, str]:
         if t in GENERATIONS:
             return "gen", GENERATIONS[t]
@@ -145,54 +231,92 @@ class NameReader:
             return "first", self.forms[t]
         if t in LEGAL or t == "sche":
             return "legal", t
-        if t in TITLES:
+        if t in TITLES or t in self.remarks:
             return "title", t
-        if t in ("von", "van", "der", "d", "die", "zu", "u", "und"):
+        if t in _PARTICLES:
             return "small", t
-        if t in _SHORT_PARTS:
-            return "part", t
-        for p in TRADES:
-            if t == p or (len(p) >= 4 and t.startswith(p) and (len(t) <= len(p) + 3 or any(w.startswith(t) or near(t, w, 3) for w in _TRADE_WORDS if w.startswith(p)))):
-                return "trade", "elek" if p == "el" else p
-        if len(t) >= 5:  # slips, the first letter included
-            for most in (0, 1, 2):  # the nearest trade, of equally near ones that with the same first letter
-                hit = [w for w in _TRADE_WORDS if near(t, w, min(most, 2 if len(w) >= 8 else 1)) or near(t, w[: len(t)], min(most, 1))]
-                if hit:
-                    return "trade", _TRADE_WORDS[min(hit, key=lambda w: w[0] not in t[:2])]
-            for w in ("aktiengesellschaft", "gesellschaft", "kommanditgesellschaft", "genossenschaft", "eingetragene", "beschrankter", "haftung", "aktien", "actien"):
-                if near(t, w, 2 if len(w) >= 8 else 1):
-                    return "legal", w
-            for w in ("kommerzienrat", "justizrat", "rentner", "rentier", "bankier", "direktor", "ebenda"):
-                if near(t, w, 2 if len(w) >= 8 else 1):
-                    return "title", w
-            for w, g in (("jungere", "J"), ("senior", "S"), ("altere", "S")):
-                if near(t, w, 1):
-                    return "gen", g
+        if t in self.trades:
+            return "trade", t
+        if len(t) >= 5:  # slips, the first letter included; the nearest word, of equally near ones that with the same first letter
+            if hit := self.trade_slips.near(t):
+                return "trade?", min(hit, key=lambda h: (h[0], h[1], -self.trades[h[2]]))[2]
+            if hit := self.fixed_slips.near(t):
+                w = hit[0][2]
+                return (self.fixed[w], GENERATIONS.get(w, w))
+        if is_trade(t):
+            return "trade", t
         if len(t) <= 3:
             return "short", t
         return "word", t
 
+    def _seen(self, text: str) -> list[tuple[str, str, str]]:
+        """(token, class, value) of a spelling; tokens that together shorten a trade, and single letters that together
+        write a legal form, are one."""
+        folded = fold_name(text)
+        met = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(folded)]
+        out, k = [], 0
+        while k < len(met):
+            t, _, end = met[k]
+            dotted = folded[end : end + 1] == "."
+            run = k + 1  # tokens joined to this one by dots and hyphens without a space
+            while run < len(met) and folded[met[run - 1][2] : met[run][1]] in (".-", "-"):
+                run += 1
+            if run - k > 1 and len(t) >= 2 and t not in LEGAL and (trade := self._short_trade(tuple(x for x, _, _ in met[k:run]))):
+                out.append((t, "trade", trade))
+                k = run
+                continue
+            kind, value = self._class(t)
+            if dotted and len(t) >= 3 and kind in ("word", "short") and not self._begins(t) and (trade := self._short_trade((t,))):
+                kind, value = "trade", trade
+            if len(t) == 1 and kind in ("short", "small"):
+                run = k
+                while run < len(met) and len(met[run][0]) == 1:
+                    run += 1
+                joined = "".join(x for x, _, _ in met[k:run])
+                rest = any(self._class(x)[0] == "word" for x, _, _ in met[run:])
+                if joined in LETTERED and (any(c in ("trade", "legal") for _, c, _ in out) or any(self._class(x)[0] in ("trade", "trade?", "legal") for x, _, _ in met[run:]) or (out and not rest and "," not in folded)):
+                    out.append((joined, "legal", joined))
+                    k = run
+                    continue
+            if kind == "word" and len(t) <= 5 and folded[met[k][1] - 1 : met[k][1]] in ("'", "’", "`", "´"):
+                kind = "small"  # an ending
+            if kind == "word" and dotted:
+                kind = "word."  # shortens something that is not known
+            out.append((t, kind, value))
+            k += 1
+        if not any(k == "word" for _, k, _ in out):
+            out = [(t, "word" if k == "word." else k, v) for t, k, v in out]
+        person = any(k == "first" for _, k, _ in out) and not any(k in ("trade", "legal") for _, k, _ in out)
+        # beside a given name, what is like a trade is a surname
+        return [(t, "word" if person else "trade", t if person else v) if k == "trade?" else (t, k, v) for t, k, v in out]
+
     def read(self, text: str | None) -> tuple | None:
         if text is None:
             return None
-        tokens = re.findall(r"[a-z]+", fold_name(text))
-        seen = [(t, *self._class(t)) for t in tokens]
+        seen = self._seen(text)
         if not seen:
             return None
         gen = next((v for _, k, v in seen if k == "gen"), "")
         trade = next((v for _, k, v in seen if k == "trade"), "")
         words = [t for t, k, _ in seen if k == "word"]
         organised = trade or any(k == "legal" and t != "gen" for t, k, _ in seen)
-        if organised and words:
-            own = max(words, key=len)
-            if own.endswith("sche") and len(own) > 9:
-                own = own[:-4]
-            return "F", plain_sound(own), "", "", "", trade
+        plain = lambda ws: " ".join(sorted({plain_sound(w[:-4] if w.endswith("sche") and len(w) > 9 else w) for w in ws}))
+        if organised:
+            own = words or [t for t, k, _ in seen if k == "short" and len(t) >= 2] or [t for t, k, _ in seen if k == "first"]
+            if own and trade:
+                return "F", plain(own), "", "", "", trade
+            if own:
+                return "W", plain(own), "", "", "", ""
         firsts = [v for _, k, v in seen if k == "first"]
         first, pre = (firsts[0] if firsts else ""), ""
         if not words and (learned := [t for t, k, _ in seen if k == "first" and t in self.learned]):  # somebody's surname after all
             words = [max(learned, key=len)]
             first = next((v for t, k, v in seen if k == "first" and t != words[0]), "")
+        told = [(t, v) for t, k, v in seen if k == "first"]
+        if not words and len(told) >= 2:  # the surname, too, is a given name: before a comma, else the last
+            at = 0 if "," in text.strip(" ,") else -1
+            words = [told[at][0]]
+            first = told[at + 1 if at == 0 else 0][1]
         if not first and len(words) >= 2:  # a slip in the given name
             hit = min(((s, k) for k, w in enumerate(words) if (s := self._given_slip(w))), default=None)
             if hit:
@@ -206,21 +330,85 @@ class NameReader:
             if not pre and len(words) >= 2:
                 pre = next((w for w in words if len(w) <= 4 and self._begins(w)), "")
                 words = [w for w in words if w != pre]
-        if not words:
-            return None
-        return "P", plain_sound(max(words, key=len)), first, pre, gen, ""
+        short = [t for t, k, _ in seen if k == "short" and len(t) >= 2 and t != pre]
+        if not words and (first or pre) and short:  # a short surname
+            words = [max(short, key=len)]
+        if words and (first or pre):
+            return "P", plain_sound(max(words, key=len)), first, pre, gen, ""
+        whole = words + short
+        if len(set(whole)) >= 2 or any(len(w) >= 2 and _UNSPACED.search(w) for w in whole):
+            return "W", plain(whole), "", "", gen, ""
+        return ("P", plain_sound(words[0]), "", "", gen, "") if words else None
+
+
+def is_trade(t: str) -> bool:
+    """Whether a word is built like one for a trade."""
+    return any(len(t) > len(h) + 2 and t.endswith(h) for h in TRADE_HEADS)
+
+
+def column_roles(texts: DataFrame, shelf: Shelf, company: int = 10) -> Roles:
+    """Trades and remarks of a column, from where its words stand.
+
+    A word that stands beside at least ``company`` different words, most of which
+    keep less company than itself, names nobody alone.  If a fifth of its
+    spellings hold a legal form it is a trade (legal forms themselves and words
+    written with a dot are not); so is every word built like one, unless it is a
+    slip of a trade thrice as usual.  If it never stands alone beside one other
+    word it is a remark.  Trades and remarks are few words however many names
+    there are; beyond MOST_ROLES an error tells so.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column(0).to_pylist():
+                folded = fold_name(text)
+                met = [(m.group(), folded[m.end() : m.end() + 1] == ".") for m in _TOKEN.finditer(folded)]
+                legal = any(t in LEGAL for t, _ in met)
+                long = {t for t, _ in met if len(t) >= 2}
+                alone = len(met) == 2
+                for t, dotted in {t: d for t, d in met if len(t) >= 4 or len(t) == 3 and not d}.items():
+                    others = [x for x in long if x != t and len(x) >= 4]
+                    rows += [(t, x, legal, dotted, alone, n == 0) for n, x in enumerate(others or [""])]
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), *[pa.bool_()] * 4))], names=["w", "beside", "legal", "dotted", "alone", "once"])
+
+    count = lambda c: F.sum((F.col("once") & c).cast("long"))
+    met = texts.select("text").mapInArrow(run, "w string, beside string, legal boolean, dotted boolean, alone boolean, once boolean")
+    met = met.groupBy("w", "beside").agg(count(F.lit(True)).alias("n"), count(F.col("legal")).alias("legal"), count(F.col("dotted")).alias("dotted"), count(F.col("alone")).alias("alone"))
+    met = shelf.put(met, "beside")
+    size = met.groupBy("w").agg(F.count_if(F.col("beside") != "").alias("company"), *[F.sum(c).alias(c) for c in ("n", "legal", "dotted", "alone")])
+    size = shelf.put(size, "sizes")
+    likely = size.filter(F.col("company") >= company).select("w", F.col("company").alias("mine"))
+    less = met.select("w", "beside").join(likely, "w").join(size.select(F.col("w").alias("beside"), F.col("company").alias("theirs")), "beside").groupBy("w").agg(F.avg((F.col("theirs") < F.col("mine")).cast("double")).alias("less"))
+    built = size.filter(F.regexp_like("w", F.lit("(" + "|".join(TRADE_HEADS) + ")$")) & (F.length("w") >= 7)).select("w", "n", F.lit(True).alias("trade"))
+    usual = size.join(less.filter(F.col("less") >= 0.5), "w").filter(F.col("dotted") * 2 < F.col("n"))
+    usual = usual.filter((F.col("legal") * 5 >= F.col("n")) | (F.col("alone") * 50 < F.col("n"))).select("w", "n", ((F.col("legal") * 5 >= F.col("n")) & (F.col("alone") * 50 >= F.col("n"))).alias("trade"))
+    found = usual.unionByName(built).groupBy("w").agg(F.max("n").alias("n"), F.max("trade").alias("trade")).limit(MOST_ROLES + 1).collect()
+    if len(found) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} words with a role")
+    given = {fold_name(f) for n, fs in GIVEN_NAMES.items() for f in (n, *fs)}
+    known = LEGAL | TITLES | GENERATIONS.keys() | {"sche", *_PARTICLES} | given
+    forms = Slips([w for w in LEGAL if len(w) >= 6], 8, 5)
+    trades: dict[str, int] = {}
+    near_trades = Slips((), 8, 5)
+    for r in sorted(found, key=lambda r: (-r["n"], r["w"])):
+        if r["trade"] and r["w"] not in known and not forms.near(r["w"]) and not any(trades[w] >= 3 * r["n"] for _, _, w in near_trades.near(r["w"])):
+            trades[r["w"]] = r["n"]
+            near_trades.add(r["w"])
+    return Roles(tuple(trades.items()), tuple(sorted(r["w"] for r in found if not r["trade"] and r["w"] not in known)))
 
 
 _SPELLING = "id long, kind string, own string, first string, pre string, gen string, trade string"
 
 
-def unlisted_given(texts: DataFrame, surnames: int = 10, shelf: Shelf | None = None) -> list[str]:
+def unlisted_given(texts: DataFrame, surnames: int = 10, shelf: Shelf | None = None, roles: Roles = Roles()) -> list[str]:
     """Given names that the list lacks, by the company they keep: words that mostly stand beside another word where a
     given name is still open, beside at least ``surnames`` different ones with less company than themselves.  Slips of
     the word's usual companion are no company, so one bearer with very many rows makes no given name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = NameReader()
+        reader = NameReader(roles=roles)
         for b in batches:
             out = [x for t in b.column(0).to_pylist() for x in reader.company(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["w", "beside"])
@@ -245,11 +433,12 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
     each = one.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m.{c}") for c in columns]))).alias("text"))
     shelf = shelf or Shelf(names.sparkSession, "spellings")
     each = shelf.put(each.filter(F.length(F.trim("text")) > 0), "texts")
-    frequent = tuple(unlisted_given(each, shelf=shelf))
+    roles = column_roles(each, shelf)
+    frequent = tuple(unlisted_given(each, shelf=shelf, roles=roles))
     parts = [p.split()[0] for p in _SPELLING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = NameReader(frequent=frequent)
+        reader = NameReader(frequent=frequent, roles=roles)
         for b in batches:
             out = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := reader.read(t))]
             cols = list(zip(*out)) or [[] for _ in parts]
@@ -258,46 +447,50 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
     return each.mapInArrow(run, _SPELLING).distinct(), frequent
 
 
-def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (a, b) from every cluster to the least cluster with the same key, instead of all pairs."""
-    least = keyed.groupBy(*keys).agg(F.min("c").alias("b"), F.max("c").alias("top")).filter(F.col("b") < F.col("top"))
-    return keyed.join(least, keys).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
+def _star(keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Edges (a, b) from every cluster to the least cluster with the same key, instead of all pairs; a key may hold a third of them."""
+    one = keyed.select("c", F.concat_ws("\u0001", *keys).alias("key"))
+    least = one.groupBy("key").agg(F.min("c").alias("b"), F.max("c").alias("top")).filter(F.col("b") < F.col("top")).select(F.col("key").alias("lk"), "b")
+    return skew_lookup(one, "key", least, "lk", total).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
 
 
-def _beginnings(spark, unlisted: tuple[str, ...] = ()) -> DataFrame:
+def _beginnings(spark, unlisted: tuple[str, ...] = (), shelf: Shelf | None = None) -> DataFrame:
     """(known, pre): every way to shorten a given name or its pet forms; a few hundred rows from the fixed list, and
-    five for each unlisted given name."""
+    five for each unlisted given name, written once."""
     rows = {(fold_name(n), fold_name(f)[:k]) for n, forms in GIVEN_NAMES.items() for f in (n, *forms) for k in range(1, 6)}
     rows |= {(n, n[:k]) for n in unlisted for k in range(1, 6)}
-    return F.broadcast(spark.createDataFrame(sorted(rows), "known string, pre string"))
+    table = spark.createDataFrame(sorted(rows), "known string, pre string")
+    return shelf.put(table, "beginnings") if shelf else table
 
 
-def _full_keys(profiles: DataFrame, unlisted: tuple[str, ...] = ()) -> DataFrame:
-    """(c, own, tag): what identifies a bearer: surname with given name and generation, or own name with trade."""
+def _full_keys(profiles: DataFrame, beginnings: DataFrame) -> DataFrame:
+    """(c, own, tag): what identifies a bearer: surname with given name and generation, own name with trade, or all words."""
     person = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", "own", F.concat_ws("|", F.lit("P"), "first", "gen").alias("tag"))
-    firm = profiles.filter((F.col("kind") == "F") & (F.col("trade") != "")).select("c", "own", F.concat_ws("|", F.lit("F"), "trade").alias("tag"))
+    firm = profiles.filter(F.col("kind") == "F").select("c", "own", F.concat_ws("|", F.lit("F"), "trade").alias("tag"))
+    whole = profiles.filter(F.col("kind") == "W").select("c", "own", F.concat_ws("|", F.lit("W"), "gen").alias("tag"))
     # an initial of a merged profile stands for the one given name of the profile that it fits
     firsts = profiles.filter((F.col("kind") == "P") & (F.col("first") != "")).select("c", F.col("first").alias("known")).distinct()
     initials = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
-    fits = initials.join(firsts, "c").join(_beginnings(profiles.sparkSession, unlisted), ["known", "pre"])
+    fits = initials.join(firsts, "c").join(F.broadcast(beginnings), ["known", "pre"])
     told = fits.groupBy("c", "own", "pre", "gen").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter(F.col("lo") == F.col("hi"))
     told = told.select("c", "own", F.concat_ws("|", F.lit("P"), "lo", "gen").alias("tag"))
-    return person.unionByName(firm).unionByName(told).distinct()
+    return person.unionByName(firm).unionByName(whole).unionByName(told).distinct()
 
 
-def _initial_edges(profiles: DataFrame, full: DataFrame, unlisted: tuple[str, ...] = ()) -> DataFrame:
+def _initial_edges(profiles: DataFrame, full: DataFrame, beginnings: DataFrame, total: int = 0) -> DataFrame:
     """Profiles known by an initial only, to the one bearer of that surname, generation and initial; if nobody
     with a full given name bears the surname, to each other; if several fit, to none."""
     waiting = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
     kinds = waiting.select("own", "pre", "gen").distinct()
     named = full.filter(F.col("tag").startswith("P|")).select("own", F.split("tag", r"\|")[1].alias("known"), F.split("tag", r"\|")[2].alias("gen"), "c")
     bearers = named.groupBy("own", "known", "gen").agg(F.min("c").alias("b"), F.max("c").alias("top"))
-    fits = kinds.join(bearers, ["own", "gen"]).join(_beginnings(profiles.sparkSession, unlisted), ["known", "pre"])
+    fits = kinds.join(bearers, ["own", "gen"]).join(F.broadcast(beginnings), ["known", "pre"])
     one = fits.groupBy("own", "pre", "gen").agg(F.min("b").alias("b"), F.max("top").alias("top"), F.count(F.lit(1)).alias("n"))
     certain = one.filter((F.col("n") == 1) & (F.col("b") == F.col("top")))
-    known = waiting.join(certain.select("own", "pre", "gen", "b"), ["own", "pre", "gen"]).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
+    key = F.concat_ws("\u0001", "own", "pre", "gen")
+    known = skew_lookup(waiting.select("c", key.alias("key")), "key", certain.select(key.alias("ck"), "b"), "ck", total).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
     rest = waiting.join(one.select("own", "pre", "gen"), ["own", "pre", "gen"], "left_anti")
-    return known.unionByName(_star(rest, ["own", "pre", "gen"]))
+    return known.unionByName(_star(rest, ["own", "pre", "gen"], total))
 
 
 def _one_turn(x: str, y: str):
@@ -308,7 +501,7 @@ def _one_turn(x: str, y: str):
     return front + back >= F.greatest(F.length(x), F.length(y)) - 4
 
 
-def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
+def _slip_edges(full: DataFrame, rare: int, changed: DataFrame | None = None) -> DataFrame:
     """Bearers whose surname or own name is a rare slip of another's, with the same given name or trade.
 
     Slips are profiles a third as large as the other or smaller, in that
@@ -317,12 +510,15 @@ def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     of a profile are what others slip from.  Blocking by the sorted letters and all ways to leave one out: any turned
     letters and one other slip still meet.  Of several neighbours the nearest,
     then the most frequent is taken; equally good neighbours leave it alone.
+    Of ``changed`` clusters, if given, one must be among the spellings that meet.
     """
     forms = full.groupBy("own", "tag").agg(F.min("c").alias("c"), F.sum("rows").alias("n"), F.max("whole").alias("whole"), F.max("top").alias("top"))
     letters = F.array_join(F.array_sort(F.split("own", "")), "")
     forms = forms.filter(F.length("own") >= 2).withColumn("letters", letters)
-    less = F.transform(F.sequence(F.lit(1), F.length("letters")), lambda i: F.concat(F.substring(F.col("letters"), F.lit(1), i - 1), F.substring(F.col("letters"), i + 1, F.lit(100))))
+    less = F.transform(F.sequence(F.lit(1), F.length("letters")), lambda i: F.concat(F.substring(F.col("letters"), F.lit(1), i - 1), F.substring(F.col("letters"), i + 1, F.length("letters"))))
     keyed = forms.withColumn("k", F.explode(F.array_distinct(F.concat(F.array("letters"), less))))
+    if changed is not None:
+        keyed = keyed.join(keyed.join(changed, "c", "left_semi").select("tag", "k").distinct(), ["tag", "k"], "left_semi")
     a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("whole").alias("wx"))
     b = keyed.filter(F.col("n") * 3 >= F.col("top")).select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("whole").alias("wy"))
     small = (F.col("nx") <= rare) & (F.col("wx") <= 2 * rare) & (F.least(F.length("x"), F.length("y")) >= 5)
@@ -332,7 +528,8 @@ def _slip_edges(full: DataFrame, rare: int) -> DataFrame:
     lev = F.levenshtein("x", "y")
     turned = F.array_join(F.array_sort(F.split("x", "")), "") == F.array_join(F.array_sort(F.split("y", "")), "")
     onset = F.substring("x", 1, 1) == F.substring("y", 1, 1)
-    slips = F.when((lev == 1) & onset, 1).when(lev == 1, 2).when(turned & (lev == 2), 1).when(turned & (lev <= 4) & onset & (F.length("x") >= 8), 2).when((lev <= 3) & onset & (F.length("x") >= 9) & (F.col("ny") >= 3) & _one_turn("x", "y"), 2)
+    single = ~F.col("x").contains(" ") & ~F.col("y").contains(" ")  # of several words, letters turned round between them are other words
+    slips = F.when((lev == 1) & onset, 1).when(lev == 1, 2).when(turned & (lev == 2), 1).when(single & turned & (lev <= 4) & onset & (F.length("x") >= 8), 2).when(single & (lev <= 3) & onset & (F.length("x") >= 9) & (F.col("ny") >= 3) & _one_turn("x", "y"), 2)
     met = met.withColumn("slips", slips).filter(F.col("slips").isNotNull())
     best = met.groupBy("cx", "x").agg(F.min(F.struct("slips", F.negative("ny").alias("m"))).alias("m"))
     first = met.join(best, ["cx", "x"]).filter((F.col("slips") == F.col("m.slips")) & (F.col("ny") == -F.col("m.m")))
@@ -352,33 +549,38 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
     ship(spark)
     shelf = Shelf(spark, "variants")
     read, unlisted = spellings(names, id_col, columns, order_col, shelf)
-    read = shelf.put(read, "spellings")
+    read, beginnings = shelf.put(read, "spellings"), _beginnings(spark, unlisted, shelf)
     ids = names.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
     label = shelf.put(ids.select("id", F.col("id").alias("c")), "labels")
+    changed = None
     for _ in range(max_rounds):
         per = read.join(label, "id")
         profiles = shelf.put(per.groupBy("c", "kind", "own", "first", "pre", "gen", "trade").agg(F.count(F.lit(1)).alias("rows")), "profiles")
-        full = shelf.put(_full_keys(profiles, unlisted), "keys")
+        if changed is not None:  # names that a merged profile bears; all others stand as they did
+            owns = profiles.join(changed, "c", "left_semi").select("own").distinct()
+            near_by = shelf.put(profiles.join(owns, "own", "left_semi").select("c").distinct(), "near")
+            around = shelf.put(profiles.join(near_by, "c", "left_semi"), "around")
+        else:
+            around = profiles
+        full = shelf.put(_full_keys(profiles, beginnings), "keys")
+        some = full if changed is None else full.join(near_by, "c", "left_semi")
         sized = profiles.groupBy("c", "own").agg(F.sum("rows").alias("rows"))
-        whole = sized.groupBy("c").agg(F.sum("rows").alias("whole"), F.max("rows").alias("top"))
-        sized = sized.join(whole, "c")
-        same = shelf.put(_star(full, ["own", "tag"]), "same")
-        initials = shelf.put(_initial_edges(profiles, full, unlisted), "initials")
-        slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare), "slips")
-        edges = shelf.put(same.unionByName(initials).unionByName(slips).distinct(), "edges")
+        sized = sized.withColumns({"whole": F.sum("rows").over(Window.partitionBy("c")), "top": F.max("rows").over(Window.partitionBy("c"))})  # the spellings of one profile
+        slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare, changed), "slips")
+        total = 2 * rows_of(profiles)
+        edges = _star(some, ["own", "tag"], total).unionByName(_initial_edges(around, some, beginnings, total)).unionByName(slips)
+        edges = shelf.put(edges.distinct(), "edges")
         if edges.isEmpty():
             break
-        merged = connected_components(edges, "a", "b", None, shelf).select(F.col("id").alias("k"), F.col("group_id").alias("to"))
+        merged = shelf.put(connected_components(edges, "a", "b", None, shelf).select(F.col("id").alias("k"), F.col("group_id").alias("to")), "merged")
         nxt = shelf.put(skew_lookup(label, "c", merged, "k", rows_of(label), "left").select("id", F.coalesce("to", "c").alias("c")), "labels")
         shelf.drop(label)
-        label = nxt
+        label, changed = nxt, shelf.put(merged.select(F.col("to").alias("c")).distinct(), "changed")
     else:
         raise RuntimeError("merging did not end")
     return label.select("id", F.col("c").alias("bearer"))
 
 
 def variant_pairs(linked: DataFrame, id_col: str = "name_id") -> DataFrame:
-    """(id_1, id_2) with id_1 < id_2 of every two ids of one bearer."""
-    a = linked.select("bearer", F.col("id").alias(f"{id_col}_1"))
-    b = linked.select("bearer", F.col("id").alias(f"{id_col}_2"))
-    return a.join(b, "bearer").filter(F.col(f"{id_col}_1") < F.col(f"{id_col}_2")).select(f"{id_col}_1", f"{id_col}_2")
+    """(id_1, id_2) with id_1 < id_2 of every two ids of one bearer; a bearer of many ids is dealt over tasks in blocks."""
+    return linked_pairs(linked.select(F.col("bearer").alias("group_id"), "id"), f"{id_col}_1", f"{id_col}_2")

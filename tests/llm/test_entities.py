@@ -127,12 +127,62 @@ def test_variants(spark):
     assert name_variants.link_variants(d.limit(0)).count() == 0
 
 
+ROLES = name_variants.Roles((("sagewerk", 10), ("portlandzementwerk", 9), ("baugesellschaft", 9), ("handelsbank", 9), ("elektrizitatswerk", 8), ("porzellanfabrik", 8), ("mobelfabrik", 8), ("brauerei", 5), ("braunkohlengrube", 9)), ("hausbesitzer",))
+
+
 @pytest.mark.parametrize("text,parts", [
     ("Komm.-Rat Ludwig S0rbettow", ("P", "sorbetow", "ludwig", "", "", "")), ("SELMUNG D. ÄLTERE, JOSEF", ("P", "selmung", "josef", "", "S", "")), ("v. Grimlettulf, Lotte", ("P", "grimletulf", "charlotte", "", "", "")),
-    ("Dr. jur. H. von Borruttau", ("P", "borutau", "", "h", "", "")), ("Portl.-Zem.-W. Stursurow AG", ("F", "stursurow", "", "", "", "portl")), ("Timbunbach'sche Bauges.", ("F", "timbunbach", "", "", "", "bauges")), (None, None), ("12 %", None),
+    ("Dr. jur. H. von Borruttau", ("P", "borutau", "", "h", "", "")), ("Portl.-Zem.-W. Stursurow AG", ("F", "stursurow", "", "", "", "portlandzementwerk")), ("Timbunbach'sche Bauges.", ("F", "timbunbach", "", "", "", "baugesellschaft")),
+    ("Genmorter El.-W.", ("F", "genmorter", "", "", "", "elektrizitatswerk")), ("Brau. Genmorter", ("F", "genmorter", "", "", "", "brauerei")), ("HANDELSBK. Genmorter", ("F", "genmorter", "", "", "", "handelsbank")), ("Genmorter Sägev.", ("F", "genmorter", "", "", "", "sagewerk")),
+    ("Salmaker & Wurting, Spinnerei", ("F", "salmaker wurting", "", "", "", "spinnerei")), ("Hausbesitzer Karl Wolf", ("P", "wolf", "karl", "", "", "")), ("Brauer, Karl", ("P", "brauer", "karl", "", "", "")),
+    ("BMW A.-G.", ("W", "bmw", "", "", "", "")), ("Иван Петров", ("W", "иван петров", "", "", "", "")), ("李伟", ("W", "李伟", "", "", "", "")), ("Tolmander", ("P", "tolmander", "", "", "", "")), (None, None), ("12 %", None), ("", None),
 ])
 def test_reader(text, parts):
-    assert name_variants.NameReader().read(text) == parts
+    assert name_variants.NameReader(roles=ROLES).read(text) == parts
+
+
+def test_slips_index():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(4, 12))) for _ in range(60)]
+    index = name_variants.Slips(words, 8)
+    for _ in range(300):
+        w = list(rng.choice(words))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w) - 1)
+            op = rng.randrange(4)
+            w[k : k + 1] = [[], [w[k], "x"], ["e"], [w[k]]][op]
+            if op == 3:
+                w[k], w[k + 1] = w[k + 1], w[k]
+        t = "".join(w)
+        assert {x for _, _, x in index.near(t)} == {x for x in words if name_variants.near(t, x, index.most(x))}
+
+
+def test_roles_of_a_column(spark):
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice(["nor", "kul", "tam", "gis", "bel", "rup", "din"]) for _ in range(4))
+    firms = [make() for _ in range(60)]
+    people = [f"{rng.choice(['Ewald', 'Tassilo', 'Karl'])} {make()}" for _ in range(80)]
+    texts = [f"Gondelbau {f.title()} {rng.choice(['AG', 'GmbH', 'KGaA'])}" for f in firms] + [f"{f.title()}, Gondelbau" for f in firms[:25]] + [f"{p}, Hausbesitzer" for p in people[:30]] + people + ["Spinnerei Tulbrach", "Spinnerei Tulbrach AG", "Spinnnerei Wurting"]
+    roles = name_variants.column_roles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), Shelf(spark, "t"))
+    assert [w for w, _ in roles.trades] == ["gondelbau", "spinnerei", "spinnnerei"] and roles.remarks == ("hausbesitzer",)
+    reader = name_variants.NameReader(roles=roles)
+    assert reader.read("Gondelbauu Tulbrach") == ("F", "tulbrach", "", "", "", "gondelbau") and reader.read("Tulbrach Gondelb. AG")[5] == "gondelbau"
+    assert name_variants.column_roles(spark.createDataFrame([], "text string"), Shelf(spark, "t")) == name_variants.Roles()
+
+
+def bearers(spark, texts):
+    d = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "name_id long, current_name string, alternative_name string")
+    groups = {}
+    for r in name_variants.link_variants(d).collect():
+        groups.setdefault(r["bearer"], []).append(texts[r["id"]])
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_names_of_any_kind(spark):
+    one = ["Schokoladenfabrik Norkulfer AG", "Norkulfer Schokoladenfabrik A.-G.", "Schokoladenfabrik Norkulfer"]
+    apart = [["Иван Петров", "Петров, Иван", "ИВАН ПЕТРОВ"], ["Пётр Иванов"], ["BMW AG", "BMW A.-G."], ["AEG AG"], ["李伟", "李伟"], ["Li Wei", "Li Wei"], ["Salmaker & Wurting AG", "AG Wurting & Salmaker"], ["Tolmander"], ["Tolmander"]]
+    slips = ["Johann Norkulfer"] * 20 + ["Johann Norkulfex"] * 5
+    assert bearers(spark, one + [t for g in apart for t in g] + slips) == sorted(sorted(g) for g in [one, *apart, slips])
 
 
 def test_near():
@@ -149,11 +199,11 @@ def test_given_names_by_company(spark):
 
 
 @pytest.mark.parametrize("text,parts", [
-    ("Lurdenbach, öbelfabrik", ("F", "lurdenbach", "mobelf")), ("Prurronulf, sorzellanfabrik", ("F", "pruronulf", "porz")), ("Krenbolow'sche andelsbank", ("F", "krenbolow", "handelsb")), ("Weberei Flenambach", ("F", "flenambach", "web")),
-    ("Flurroling tktiengesellschaft", ("F", "fluroling", "")),
+    ("Lurdenbach, öbelfabrik", ("F", "lurdenbach", "mobelfabrik")), ("Prurronulf, sorzellanfabrik", ("F", "pruronulf", "porzellanfabrik")), ("Krenbolow'sche andelsbank", ("F", "krenbolow", "handelsbank")), ("Weberei Flenambach", ("F", "flenambach", "weberei")),
+    ("Flurroling tktiengesellschaft", ("W", "fluroling", "")),
 ])
 def test_first_letter_slips_of_words(text, parts):
-    got = name_variants.NameReader().read(text)
+    got = name_variants.NameReader(roles=ROLES).read(text)
     assert (got[0], got[1], got[5]) == parts
 
 
@@ -178,4 +228,5 @@ def test_unfinished_merging_is_an_error(spark):
 
 def test_initials_of_unlisted_given_names(spark):
     profiles = spark.createDataFrame([(1, "P", "tolmander", "ewald", "", "", ""), (2, "P", "tolmander", "", "e", "", "")], "c long, kind string, own string, first string, pre string, gen string, trade string")
-    assert rows(name_variants._initial_edges(profiles, name_variants._full_keys(profiles, ("ewald",)), ("ewald",)), "a", "b") == [(2, 1)]
+    begin = name_variants._beginnings(spark, ("ewald",))
+    assert rows(name_variants._initial_edges(profiles, name_variants._full_keys(profiles, begin), begin), "a", "b") == [(2, 1)]

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.operators.components import connected_components
-from kinweave.runtime import Shelf
+from kinweave.runtime import Shelf, rows_of, skew_lookup
 
 #: Ids of a component that one task pairs with all others of it.
 PAIR_BLOCK = 5_000
@@ -33,10 +33,10 @@ def _members(groups: DataFrame, limit: int | None) -> None:
         raise ValueError(f"component {big[0][0]} has {big[0][1]} ids; its pairs are refused beyond {limit}")
 
 
-def _pairs(groups: DataFrame, left: str, right: str, block: int = PAIR_BLOCK) -> DataFrame:
+def linked_pairs(groups: DataFrame, left: str, right: str, block: int = PAIR_BLOCK) -> DataFrame:
     """Every two ids of a component, the smaller one left; a component of many ids is dealt over tasks in blocks."""
-    sizes = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "group_id")
+    sizes = groups.groupBy(F.col("group_id").alias("g")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = skew_lookup(groups, "group_id", sizes, "g", rows_of(groups))
     a = dealt.select("group_id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias(left))
     b = dealt.select("group_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias(right))
     return a.join(b, ["group_id", "block"]).filter(F.col(left) < F.col(right)).select(left, right)
@@ -50,7 +50,7 @@ def closure_pairs(matches: DataFrame, left: str = "left", right: str = "right",
     shelf = Shelf(matches.sparkSession, "closure")
     groups = shelf.put(connected_components(matches, left, right, None, shelf), "groups")
     _members(groups, max_component)
-    return _pairs(groups, left, right)
+    return linked_pairs(groups, left, right)
 
 
 def all_ordered_pairs(matches: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -107,7 +107,7 @@ def data_preparation_panel(panel: DataFrame, matches: DataFrame | None, unique_i
     inner = placed.filter((F.col("id") > F.col("lo")) & (F.col("id") < F.col("hi"))).select(F.col("id").alias("left"), F.col("id").alias("right"))
     given = edges.filter(F.col("left") == F.col("right")) if matches is not None and not panel_id else spark.createDataFrame([], f"left {kind}, right {kind}")
     given = given.join(ids.select(F.col("id").alias("left")), "left", "left_semi").select("left", "right")
-    closed = _pairs(groups, "left", "right").unionByName(inner.unionByName(given).distinct())
+    closed = linked_pairs(groups, "left", "right").unionByName(inner.unionByName(given).distinct())
     sides = {"left": placed.filter(F.col("id") < F.col("hi")), "right": placed.filter(F.col("id") > F.col("lo"))}
     frame = panel.drop(panel_id) if panel_id else panel
     on = lambda side: frame.join(sides[side].select(F.col("id").alias(unique_id)).unionByName(given.select(F.col("left").alias(unique_id))), unique_id, "left_semi").select(frame.columns).distinct().orderBy(unique_id)

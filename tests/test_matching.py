@@ -277,4 +277,4 @@ def test_large_components_are_whole(spark):
     p = spark.range(20_002).select("id", F.lit("a").alias("col"))
     assert closure.data_preparation_panel(p, chain, "id").left.count() == 20_001  # without any pairs
     groups = spark.createDataFrame([(1, k) for k in range(1, 24)] + [(50, 50), (50, 51)], "group_id long, id long")
-    assert rows(closure._pairs(groups, "left", "right", 4), "left", "right") == [(a, b) for a in range(1, 24) for b in range(a + 1, 24)] + [(50, 51)]
+    assert rows(closure.linked_pairs(groups, "left", "right", 4), "left", "right") == [(a, b) for a in range(1, 24) for b in range(a + 1, 24)] + [(50, 51)]

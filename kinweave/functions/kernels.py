@@ -103,6 +103,7 @@ def partial_token_ratio(a: str, b: str) -> float:
 
 
 KERNELS = {
-    "jaro_winkler": jaro_winkler, "basic_ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio,
+    "jaro_winkler": jaro_winkler, "basic_ratio": ratio, "partial_ratio": partial_ratio, "partial_ratio_alignment": partial_ratio,  # the score of the best alignment
+    "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio,
     "token_ratio": token_ratio, "partial_token_sort_ratio": partial_token_sort_ratio, "partial_token_set_ratio": partial_token_set_ratio, "partial_token_ratio": partial_token_ratio,
 }

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinweave.runtime import Shelf
+
 COUNTS = ("TP", "FP", "TN", "FN")
 
 
@@ -117,17 +119,20 @@ def combined_loss(scored: DataFrame, weight_f1: float = 0.5, epsilon: float = 1e
 def average_precision(scored: DataFrame, label: str = "match", prediction: str = "prediction") -> DataFrame:
     """One row (average_precision): sum of precision times gained recall over the distinct scores, best first.
 
-    Rows are counted per score before anything is ordered; scores are cut into
-    ranges whose totals are added up first, so no task orders all of them.
+    Rows are counted per score before anything is ordered; the distinct scores
+    are cut into ranges of about equal size, however the scores lie, and the
+    totals of the ranges before are added, so no task orders all of them.
     """
-    y = F.coalesce(F.col(label) == 1, F.lit(False)).cast("long")
+    spark, y = scored.sparkSession, F.coalesce(F.col(label) == 1, F.lit(False)).cast("long")
     by = scored.select(F.col(prediction).alias("s"), y.alias("y")).groupBy("s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    by = by.withColumn("r", F.floor(F.col("s") * 1000).cast("long"))
-    per = by.groupBy("r").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))  # about a thousand rows
-    before = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = by.repartitionByRange(n, F.desc("s")).withColumn("r", F.spark_partition_id())
+    cut = Shelf(spark, "precision").put(cut, "scores")
+    per = cut.groupBy("r").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))  # one row a range
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("r", F.coalesce(F.sum("rp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"), F.sum("rp").over(Window.partitionBy()).alias("all"))
     inside = Window.partitionBy("r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.join(F.broadcast(per), "r").withColumns({"tp": F.col("bp") + F.sum("pos").over(inside), "seen": F.col("bn") + F.sum("n").over(inside)})
+    run = cut.join(F.broadcast(per), "r").withColumns({"tp": F.col("bp") + F.sum("pos").over(inside), "seen": F.col("bn") + F.sum("n").over(inside)})
     gain = F.coalesce(F.try_divide(F.col("pos").cast("double"), F.col("all").cast("double")), F.lit(0.0)) * F.col("tp") / F.col("seen")
     return run.agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("average_precision"))
 

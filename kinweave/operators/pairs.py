@@ -124,8 +124,10 @@ def order_hash(seed: int, *cols: str):
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), by hash order of the keys."""
-    return df.orderBy(order_hash(seed, *keys), *keys).limit(n)
+    """Exactly ``n`` rows (all, if there are fewer), by hash order of the keys; the kept rows stay spread over the tasks."""
+    shelf = Shelf(df.sparkSession, "sample")
+    ranked = global_positions(df.withColumn("__h", order_hash(seed, *keys)), [F.col("__h"), *[F.col(k) for k in keys]], shelf, "sample", "__pos")
+    return ranked.filter(F.col("__pos") < n).drop("__h", "__pos")
 
 
 def subsample_non_matches(pairs: DataFrame, keys: list[str], mismatch_share: float = 1.0, seed: int = 42, match_col: str = "match") -> DataFrame:

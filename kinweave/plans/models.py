@@ -34,7 +34,12 @@ def compact(df: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
     """The table cached, in no more parts than its size needs: iterative fits run a job per step."""
     held = df.persist()
     parts = held.count() // rows_a_part + 1
-    return held if parts >= held.rdd.getNumPartitions() else held.coalesce(parts)
+    if parts >= held.rdd.getNumPartitions():
+        return held
+    small = held.coalesce(parts).persist()  # what the caller frees is what is held
+    small.count()
+    held.unpersist()
+    return small
 
 
 class MatchingModel:

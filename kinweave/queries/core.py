@@ -339,6 +339,22 @@ def closure_pairs(spark: SparkSession, d: str) -> DataFrame:
     return closure.closure_pairs(read(spark, d, "matches"))
 
 
+@query(f'WITH RECURSIVE {_LINKS}, e AS (SELECT x, y FROM l UNION SELECT y, x FROM l), {_REACH} SELECT "left", "right" FROM matches UNION ALL SELECT id, seen FROM r WHERE id <> seen')
+def closure_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The matches as given, followed by every ordered pair of different linked ids."""
+    return closure.all_ordered_pairs(read(spark, d, "matches"))
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, own AS (SELECT DISTINCT id, pid FROM panel WHERE pid IS NOT NULL),
+pe AS (SELECT a.pid AS x, b.pid AS y FROM l JOIN own a ON l.x = a.id JOIN own b ON l.y = b.id),
+e AS (SELECT x, y FROM pe UNION SELECT y, x FROM pe UNION SELECT pid, pid FROM own), {_REACH},
+g AS (SELECT id AS pid, min(seen) AS group_id FROM r GROUP BY id) SELECT group_id, own.id FROM own JOIN g USING (pid)""")
+def panel_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Panels whose records matches link, directly or indirectly; each record with the least panel."""
+    own = read(spark, d, "panel").select("id", "pid").distinct()
+    return closure.connected_panels(own, read(spark, d, "matches").filter("left IS NOT NULL AND right IS NOT NULL"), "id", "pid")
+
+
 _PANEL = f"""WITH RECURSIVE {_LINKS}, star AS (SELECT id AS x, min(id) OVER (PARTITION BY pid) AS y FROM panel WHERE pid IS NOT NULL),
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l UNION SELECT x, y FROM star UNION SELECT y, x FROM star), {_REACH},
 p AS (SELECT id, seen FROM r WHERE id IN (SELECT id FROM panel) AND seen IN (SELECT id FROM panel))"""

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.plans import models, network, selection, training
 from kinweave.sources import io
@@ -123,9 +124,18 @@ def test_two_stage_network(spark, tmp_path):
         network.train_network({"name": ["levenshtein"]}, (l, r, m), (l, r, m), stage_1=False, stage_2=False)
 
 
-def test_step_sizes():
-    assert network.peak_rate(256) == pytest.approx(1e-3) and network.peak_rate(10**6) == 3e-3 and network.peak_rate(256, 1.0) == pytest.approx(6e-4) and network.peak_rate(256, 16, 10**8) == pytest.approx(8e-4)
-    assert network.suggested_decay(256, 10**7, 1e-3) == pytest.approx(5e-4) and network.suggested_decay(512, 10**7, 4e-3) == pytest.approx(5e-4)
+def test_measured_steps_and_own_losses(spark):
+    d = spark.createDataFrame([(k % 2, 0.9 * (k % 2) + 0.01 * (k % 5), 0.5 + 0.02 * (k % 7)) for k in range(60)], "match int, col_a_a_levenshtein double, col_a_a_cosine double")
+    make = lambda: network.NetworkModel({"a": ["levenshtein", "cosine"]}, width_scale=3, depth=1, record_scale=3, record_depth=1)
+    m = make()
+    data = d.withColumn("label", F.col("match").cast("double")).select(*m.features, "label")
+    assert m.measured_rate(data) in network.RATES
+    slope = lambda y, p, totals: (p - y) / totals[3]
+    fitted = make().fit(d, epochs=8, peak=None, weight_decay=None, loss=slope)
+    assert len(fitted.history) == 8 and fitted.history[-1]["f1"] > 0.6
+    assert make().fit(d, epochs=2, loss="combined").history
+    with pytest.raises(ValueError):
+        make().fit(d, loss="hinge")
 
 
 def test_batch_size():

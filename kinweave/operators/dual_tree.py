@@ -76,16 +76,23 @@ def _by_level(locations: DataFrame, levels: list[int]) -> DataFrame:
 def _below(locations: DataFrame, decided: list[tuple[int, int, DataFrame]], node: str) -> DataFrame:
     """The locations under decided nodes, with (level, node); ``decided`` lists (level, decided pairs, table of these).
 
-    No other level is looked at.  Where a level has few decided pairs, as all coarse ones have, the locations are
-    filtered by their nodes (broadcast, the number counted before) ahead of the shuffle.
+    No other level is looked at.  The levels with the fewest decided pairs, as all coarse ones are, have their locations
+    filtered by the decided nodes (broadcast, their number counted before) ahead of the shuffle.
     """
-    out = None
-    for level, n, table in decided:
-        at = locations.withColumn("level", F.lit(level)).withColumn("node", _node(F.lit(level)))
-        if n <= BROADCAST_ROWS:
-            at = at.join(F.broadcast(table.select(F.col(node).alias("node")).distinct()), "node", "left_semi")
-        out = at if out is None else out.unionByName(at)
-    return out
+    few, total = [], 0
+    for level, n, table in sorted(decided, key=lambda x: x[1]):
+        if total + n > BROADCAST_ROWS:
+            break
+        few.append((level, table))
+        total += n
+    many = [level for level, _, _ in decided if level not in {x for x, _ in few}]
+    parts = [_by_level(locations, many)] if many else []
+    if few:
+        nodes = few[0][1].select("level", F.col(node).alias("node"))
+        for _, table in few[1:]:
+            nodes = nodes.unionByName(table.select("level", F.col(node).alias("node")))
+        parts.append(_by_level(locations, [x for x, _ in few]).join(F.broadcast(nodes), ["level", "node"], "left_semi"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _with_ids(spots: DataFrame, points: DataFrame, shelf: Shelf, lat: str, lon: str, name: str, spot_ids: int) -> DataFrame:

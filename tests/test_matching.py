@@ -226,7 +226,7 @@ def test_dual_tree_against_brute_force(spark):
 def test_only_points_below_decided_nodes_are_shuffled(spark):
     spots = spark.createDataFrame([(k / 40, k / 40) for k in range(-1600, 1600)], "lat double, lon double")
     at = dual_tree._locations(spots)
-    some = at.limit(5).withColumn("node", dual_tree._node(F.lit(16))).select(F.col("node").alias("a"))
+    some = at.limit(5).withColumn("node", dual_tree._node(F.lit(16))).select(F.lit(16).alias("level"), F.col("node").alias("a"))
     few = dual_tree._below(at, [(16, 5, some)], "a")
     assert few.count() == 5 and {r[0] for r in few.select("level").distinct().collect()} == {16}
     assert dual_tree._below(at, [(16, 10**9, some)], "a").count() == 3200  # one level, not all levels

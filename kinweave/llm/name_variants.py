@@ -63,6 +63,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _PARTICLES = ("von", "van", "der", "d", "die", "zu", "u", "und")
 #: The most words of roles that are taken to the tasks.
 MOST_ROLES = 200_000
+#: A listed given name that is so many times as usual as a word one or two letters off makes the word its slip.
+SLIP_TIMES = 100
 
 
 def fold_name(s: str) -> str:
@@ -196,14 +198,16 @@ class NameReader:
 
     def company(self, text: str) -> list[tuple[str, str]]:
         """(word, beside) of the words of a person's spelling that may be surnames or unlisted given names: beside each
-        other where no given name or initial is told, beside nothing where one is or where the word stands alone."""
+        other where no given name or initial is told, beside nothing where one is or where the word stands alone. Listed
+        given names stand beside None."""
         seen = self._seen(text)
         if any(k in ("legal", "trade") for _, k, _ in seen):
             return []
+        listed = [(t, None) for t, k, _ in seen if k == "first"]
         loose = {t for t, k, _ in seen if k in ("word", "short") and len(t) >= 3 and not self._begins(t)}
         free = sorted(t for t in loose if not self._given_slip(t))
         told = len(free) < len(loose) or any(k == "first" for _, k, _ in seen) or any(t not in ("v", "d", "u") for t in self._shorts(seen))
-        return [(t, "") for t in free] if told or len(free) < 2 else [(t, b) for t in free for b in free if b != t]
+        return listed + ([(t, "") for t in free] if told or len(free) < 2 else [(t, b) for t in free for b in free if b != t])
 
     def _class(self, t: str) -> tuple[str, str]:
         got = self.cache.get(t)
@@ -354,7 +358,8 @@ def column_roles(texts: DataFrame, shelf: Shelf, company: int = 10) -> Roles:
     spellings hold a legal form it is a trade (legal forms themselves and words
     written with a dot are not); so is every word built like one, unless it is a
     slip of a trade thrice as usual.  If it never stands alone beside one other
-    word it is a remark.  Trades and remarks are few words however many names
+    word it is a remark, unless it is a slip of a trade, title, legal form or given
+    name: however large the table, a slip is read as the word it stands for.  Trades and remarks are few words however many names
     there are; beyond MOST_ROLES an error tells so.
     """
 
@@ -396,7 +401,9 @@ def column_roles(texts: DataFrame, shelf: Shelf, company: int = 10) -> Roles:
         if r["trade"] and r["w"] not in known and not forms.near(r["w"]) and not any(trades[w] >= 3 * r["n"] for _, _, w in near_trades.near(r["w"])):
             trades[r["w"]] = r["n"]
             near_trades.add(r["w"])
-    return Roles(tuple(trades.items()), tuple(sorted(r["w"] for r in found if not r["trade"] and r["w"] not in known)))
+    reader = NameReader(roles=Roles(tuple(trades.items())))
+    plain = lambda w: len(w) < 4 or reader._classify(w)[0] == "word" and not reader._given_slip(w)
+    return Roles(tuple(trades.items()), tuple(sorted(r["w"] for r in found if not r["trade"] and r["w"] not in known and plain(r["w"]))))
 
 
 _SPELLING = "id long, kind string, own string, first string, pre string, gen string, trade string"
@@ -405,7 +412,8 @@ _SPELLING = "id long, kind string, own string, first string, pre string, gen str
 def unlisted_given(texts: DataFrame, surnames: int = 10, shelf: Shelf | None = None, roles: Roles = Roles()) -> list[str]:
     """Given names that the list lacks, by the company they keep: words that mostly stand beside another word where a
     given name is still open, beside at least ``surnames`` different ones with less company than themselves.  Slips of
-    the word's usual companion are no company, so one bearer with very many rows makes no given name."""
+    the word's usual companion are no company, so one bearer with very many rows makes no given name. Nor does a slip of
+    a listed given name, though in a large table it stands beside many surnames: it is rarer by ``SLIP_TIMES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = NameReader(roles=roles)
@@ -422,7 +430,10 @@ def unlisted_given(texts: DataFrame, surnames: int = 10, shelf: Shelf | None = N
     size = own.groupBy("w").agg(F.count(F.lit(1)).alias("company"), F.max("open").alias("open"), F.max("told").alias("told"))
     likely = size.filter((F.col("company") >= surnames) & (F.col("open") > F.col("told"))).select("w", "company")
     less = own.join(likely, "w").join(size.select(F.col("w").alias("beside"), F.col("company").alias("theirs")), "beside").filter(F.col("theirs") < F.col("company"))
-    return sorted(r[0] for r in less.groupBy("w").count().filter(F.col("count") >= surnames).collect())
+    found = less.groupBy("w").agg(F.count(F.lit(1)).alias("count"), F.max(F.col("open") + F.col("told")).alias("n")).filter(F.col("count") >= surnames).collect()
+    listed = {r["w"]: r["n"] for r in met.filter(F.col("beside").isNull()).select("w", "n").collect()} if found else {}  # forms of the list
+    slips = Slips(listed, 4)
+    return sorted(r["w"] for r in found if not any(listed[f] >= SLIP_TIMES * r["n"] for _, _, f in slips.near(r["w"])))
 
 
 def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col: str | None = None, shelf: Shelf | None = None) -> tuple[DataFrame, tuple[str, ...]]:

@@ -198,6 +198,16 @@ def test_given_names_by_company(spark):
     assert name_variants.unlisted_given(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)) == ["ewald"]
 
 
+def test_slips_in_a_large_table_learn_nothing(spark):
+    surnames = ["Tolmander", "Kimpending", "Surgakulf", "Drenportow", "Flurroling", "Klurdunger", "Nalfermann", "Hurpurtow", "Genmorter", "Zimpindow", "Bolgarat"]
+    given = [f"{g} {s}" for s in surnames for g in ["Bernd"] * 110 + ["Bemd", "Ewald"]]
+    assert name_variants.unlisted_given(spark.createDataFrame([(t,) for t in given], "text string").repartition(3)) == ["ewald"]
+    firms = [f"Ziegelwerke {s}{end}" for s in surnames for end in ("", " AG", " Acktien", " Hausbesitzer")] + [f"Zieglwerke Bolgarat {s} AG" for s in surnames]
+    roles = name_variants.column_roles(spark.createDataFrame([(t,) for t in firms], "text string").repartition(3), Shelf(spark, "t"))
+    assert roles.remarks == ("hausbesitzer",)
+    assert name_variants.NameReader(roles=roles).read("Tolmander Acktien") == name_variants.NameReader(roles=roles).read("Tolmander Aktien") == ("W", "tolmander", "", "", "", "")
+
+
 @pytest.mark.parametrize("text,parts", [
     ("Lurdenbach, öbelfabrik", ("F", "lurdenbach", "mobelfabrik")), ("Prurronulf, sorzellanfabrik", ("F", "pruronulf", "porzellanfabrik")), ("Krenbolow'sche andelsbank", ("F", "krenbolow", "handelsbank")), ("Weberei Flenambach", ("F", "flenambach", "weberei")),
     ("Flurroling tktiengesellschaft", ("W", "fluroling", "")),

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave.operators.closure import linked_pairs
-from kinweave.operators.components import connected_components
-from kinweave.runtime import Shelf, rows_of, ship, skew_lookup
+from kinweave.operators.components import components_in_one_task, connected_components
+from kinweave.runtime import SMALL_ROWS, Shelf, rows_of, ship, skew_lookup
 
 #: Given names with their short and pet forms. Fixed values; another list may be passed.
 GIVEN_NAMES: dict[str, tuple[str, ...]] = {
@@ -61,6 +61,8 @@ TRADE_HEADS = (
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u1100-\u11ff\uac00-\ud7ff]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _PARTICLES = ("von", "van", "der", "d", "die", "zu", "u", "und")
+#: Up to so many edges of a round are joined into components by one task.
+ONE_TASK_EDGES = 500_000
 #: The most words of roles that are taken to the tasks.
 MOST_ROLES = 200_000
 #: A listed given name that is so many times as usual as a word one or two letters off makes the word its slip.
@@ -461,6 +463,8 @@ def spellings(names: DataFrame, id_col: str, columns: tuple[str, ...], order_col
 def _star(keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Edges (a, b) from every cluster to the least cluster with the same key, instead of all pairs; a key may hold a third of them."""
     one = keyed.select("c", F.concat_ws("\u0001", *keys).alias("key"))
+    if total <= SMALL_ROWS:  # one shuffle
+        return one.select(F.col("c").alias("a"), F.min("c").over(Window.partitionBy("key")).alias("b")).filter(F.col("a") != F.col("b"))
     least = one.groupBy("key").agg(F.min("c").alias("b"), F.max("c").alias("top")).filter(F.col("b") < F.col("top")).select(F.col("key").alias("lk"), "b")
     return skew_lookup(one, "key", least, "lk", total).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
 
@@ -488,7 +492,7 @@ def _full_keys(profiles: DataFrame, beginnings: DataFrame) -> DataFrame:
     return person.unionByName(firm).unionByName(whole).unionByName(told).distinct()
 
 
-def _initial_edges(profiles: DataFrame, full: DataFrame, beginnings: DataFrame, total: int = 0) -> DataFrame:
+def _initial_edges(profiles: DataFrame, full: DataFrame, beginnings: DataFrame, total: int = 0, shelf: Shelf | None = None) -> DataFrame:
     """Profiles known by an initial only, to the one bearer of that surname, generation and initial; if nobody
     with a full given name bears the surname, to each other; if several fit, to none."""
     waiting = profiles.filter((F.col("kind") == "P") & (F.col("first") == "") & (F.col("pre") != "")).select("c", "own", "pre", "gen").distinct()
@@ -497,11 +501,12 @@ def _initial_edges(profiles: DataFrame, full: DataFrame, beginnings: DataFrame,
     bearers = named.groupBy("own", "known", "gen").agg(F.min("c").alias("b"), F.max("c").alias("top"))
     fits = kinds.join(bearers, ["own", "gen"]).join(F.broadcast(beginnings), ["known", "pre"])
     one = fits.groupBy("own", "pre", "gen").agg(F.min("b").alias("b"), F.max("top").alias("top"), F.count(F.lit(1)).alias("n"))
-    certain = one.filter((F.col("n") == 1) & (F.col("b") == F.col("top")))
     key = F.concat_ws("\u0001", "own", "pre", "gen")
-    known = skew_lookup(waiting.select("c", key.alias("key")), "key", certain.select(key.alias("ck"), "b"), "ck", total).filter(F.col("c") != F.col("b")).select(F.col("c").alias("a"), "b")
-    rest = waiting.join(one.select("own", "pre", "gen"), ["own", "pre", "gen"], "left_anti")
-    return known.unionByName(_star(rest, ["own", "pre", "gen"], total))
+    placed = skew_lookup(waiting.select("c", key.alias("key")), "key", one.select(key.alias("ck"), "b", "top", "n"), "ck", total, "left")
+    if shelf:  # read twice below
+        placed = shelf.put(placed, "placed")
+    known = placed.filter((F.col("n") == 1) & (F.col("b") == F.col("top")) & (F.col("c") != F.col("b"))).select(F.col("c").alias("a"), "b")
+    return known.unionByName(_star(placed.filter(F.col("n").isNull()), ["key"], total))
 
 
 def _one_turn(x: str, y: str):
@@ -512,7 +517,7 @@ def _one_turn(x: str, y: str):
     return front + back >= F.greatest(F.length(x), F.length(y)) - 4
 
 
-def _slip_edges(full: DataFrame, rare: int, changed: DataFrame | None = None) -> DataFrame:
+def _slip_edges(full: DataFrame, rare: int, changed: DataFrame | None = None, shelf: Shelf | None = None) -> DataFrame:
     """Bearers whose surname or own name is a rare slip of another's, with the same given name or trade.
 
     Slips are profiles a third as large as the other or smaller, in that
@@ -525,16 +530,22 @@ def _slip_edges(full: DataFrame, rare: int, changed: DataFrame | None = None) ->
     """
     forms = full.groupBy("own", "tag").agg(F.min("c").alias("c"), F.sum("rows").alias("n"), F.max("whole").alias("whole"), F.max("top").alias("top"))
     letters = F.array_join(F.array_sort(F.split("own", "")), "")
-    forms = forms.filter(F.length("own") >= 2).withColumn("letters", letters)
+    forms = forms.filter(F.length("own") >= 2)
+    if shelf:  # read several times below
+        forms = shelf.put(forms, "forms")
+    forms = forms.withColumn("letters", letters)
     less = F.transform(F.sequence(F.lit(1), F.length("letters")), lambda i: F.concat(F.substring(F.col("letters"), F.lit(1), i - 1), F.substring(F.col("letters"), i + 1, F.length("letters"))))
+    # Spark takes the exploded keys to be as small as the forms: without the hints it would broadcast them
     keyed = forms.withColumn("k", F.explode(F.array_distinct(F.concat(F.array("letters"), less))))
     if changed is not None:
-        keyed = keyed.join(keyed.join(changed, "c", "left_semi").select("tag", "k").distinct(), ["tag", "k"], "left_semi")
+        keyed = keyed.join(keyed.join(changed, "c", "left_semi").select("tag", "k").distinct().hint("merge"), ["tag", "k"], "left_semi")
+        if shelf:
+            keyed = shelf.put(keyed, "keyed")
     a = keyed.select("tag", "k", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("whole").alias("wx"))
     b = keyed.filter(F.col("n") * 3 >= F.col("top")).select("tag", "k", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("whole").alias("wy"))
     small = (F.col("nx") <= rare) & (F.col("wx") <= 2 * rare) & (F.least(F.length("x"), F.length("y")) >= 5)
     rarer = (F.col("nx") * 3 <= F.col("ny")) & (F.col("wx") * 3 <= F.col("wy"))
-    met = a.join(b, ["tag", "k"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (small | rarer))
+    met = a.join(b.hint("merge"), ["tag", "k"]).filter((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (small | rarer))
     met = met.drop("k", "tag").distinct()
     lev = F.levenshtein("x", "y")
     turned = F.array_join(F.array_sort(F.split("x", "")), "") == F.array_join(F.array_sort(F.split("y", "")), "")
@@ -542,10 +553,9 @@ def _slip_edges(full: DataFrame, rare: int, changed: DataFrame | None = None) ->
     single = ~F.col("x").contains(" ") & ~F.col("y").contains(" ")  # of several words, letters turned round between them are other words
     slips = F.when((lev == 1) & onset, 1).when(lev == 1, 2).when(turned & (lev == 2), 1).when(single & turned & (lev <= 4) & onset & (F.length("x") >= 8), 2).when(single & (lev <= 3) & onset & (F.length("x") >= 9) & (F.col("ny") >= 3) & _one_turn("x", "y"), 2)
     met = met.withColumn("slips", slips).filter(F.col("slips").isNotNull())
-    best = met.groupBy("cx", "x").agg(F.min(F.struct("slips", F.negative("ny").alias("m"))).alias("m"))
-    first = met.join(best, ["cx", "x"]).filter((F.col("slips") == F.col("m.slips")) & (F.col("ny") == -F.col("m.m")))
-    alone = first.groupBy("cx", "x").agg(F.min("cy").alias("lo"), F.max("cy").alias("hi")).filter(F.col("lo") == F.col("hi"))
-    return alone.select(F.col("cx").alias("a"), F.col("lo").alias("b"))
+    at = lambda c: F.min(F.struct("slips", F.negative("ny").alias("m"), c.alias("c"))).getField("c")
+    best = met.groupBy("cx", "x").agg(at(F.col("cy")).alias("lo"), F.bitwise_not(at(F.bitwise_not("cy"))).alias("hi"))  # of the best neighbours the least and the greatest
+    return best.filter(F.col("lo") == F.col("hi")).select(F.col("cx").alias("a"), F.col("lo").alias("b"))
 
 
 def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str, ...] = ("current_name", "alternative_name"), order_col: str | None = "loaded_at", rare: int = 2, max_rounds: int = 200) -> DataFrame:
@@ -563,7 +573,7 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
     read, beginnings = shelf.put(read, "spellings"), _beginnings(spark, unlisted, shelf)
     ids = names.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
     label = shelf.put(ids.select("id", F.col("id").alias("c")), "labels")
-    changed = None
+    changed, total, spelt = None, None, rows_of(label)
     for _ in range(max_rounds):
         per = read.join(label, "id")
         profiles = shelf.put(per.groupBy("c", "kind", "own", "first", "pre", "gen", "trade").agg(F.count(F.lit(1)).alias("rows")), "profiles")
@@ -577,16 +587,18 @@ def link_variants(names: DataFrame, id_col: str = "name_id", columns: tuple[str,
         some = full if changed is None else full.join(near_by, "c", "left_semi")
         sized = profiles.groupBy("c", "own").agg(F.sum("rows").alias("rows"))
         sized = sized.withColumns({"whole": F.sum("rows").over(Window.partitionBy("c")), "top": F.max("rows").over(Window.partitionBy("c"))})  # the spellings of one profile
-        slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare, changed), "slips")
-        total = 2 * rows_of(profiles)
-        edges = _star(some, ["own", "tag"], total).unionByName(_initial_edges(around, some, beginnings, total)).unionByName(slips)
-        edges = shelf.put(edges.distinct(), "edges")
-        if edges.isEmpty():
+        slips = shelf.put(_slip_edges(full.join(sized, ["c", "own"]), rare, changed, shelf), "slips")
+        total = total or 2 * rows_of(profiles)  # later rounds have no more
+        edges = _star(some, ["own", "tag"], total).unionByName(_initial_edges(around, some, beginnings, total, shelf)).unionByName(slips)
+        edges = shelf.put(edges, "edges")
+        links = rows_of(edges)
+        if not links:
             break
-        merged = shelf.put(connected_components(edges, "a", "b", None, shelf).select(F.col("id").alias("k"), F.col("group_id").alias("to")), "merged")
-        nxt = shelf.put(skew_lookup(label, "c", merged, "k", rows_of(label), "left").select("id", F.coalesce("to", "c").alias("c")), "labels")
+        groups = components_in_one_task(edges, "a", "b") if links <= ONE_TASK_EDGES else connected_components(edges, "a", "b", None, shelf)
+        merged = shelf.put(groups.select(F.col("id").alias("k"), F.col("group_id").alias("to")), "merged")
+        nxt = shelf.put(skew_lookup(label, "c", merged, "k", spelt, "left").select("id", F.coalesce("to", "c").alias("c")), "labels")
         shelf.drop(label)
-        label, changed = nxt, shelf.put(merged.select(F.col("to").alias("c")).distinct(), "changed")
+        label, changed = nxt, merged.select(F.col("to").alias("c"))
     else:
         raise RuntimeError("merging did not end")
     return label.select("id", F.col("c").alias("bearer"))

@@ -240,3 +240,36 @@ def test_initials_of_unlisted_given_names(spark):
     profiles = spark.createDataFrame([(1, "P", "tolmander", "ewald", "", "", ""), (2, "P", "tolmander", "", "e", "", "")], "c long, kind string, own string, first string, pre string, gen string, trade string")
     begin = name_variants._beginnings(spark, ("ewald",))
     assert rows(name_variants._initial_edges(profiles, name_variants._full_keys(profiles, begin), begin), "a", "b") == [(2, 1)]
+
+
+VARIANTS = "name_id long, current_name string, alternative_name string"
+
+
+def test_few_names_take_few_jobs(spark):
+    """The driver plans every job and keeps its figures; these were 219 jobs."""
+    begun = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    d, before = spark.createDataFrame(NAMES, VARIANTS).coalesce(1), begun()
+    assert name_variants.link_variants(d).count() == 21
+    assert begun() - before < 190
+
+
+def test_large_tables_are_linked_alike(spark, monkeypatch):
+    from kinweave import runtime
+    from kinweave.operators import components
+
+    d = spark.createDataFrame([*NAMES, *((100 + i, f"{f}. Tolmander", None) for i, f in enumerate("EEFF")), (110, "Emil Kimpending", None), (111, "E. Kimpending", None)], VARIANTS)
+    once = rows(name_variants.link_variants(d), "id", "bearer")
+    for m in (runtime, components, name_variants):
+        monkeypatch.setattr(m, "SMALL_ROWS", 0)
+    monkeypatch.setattr(name_variants, "ONE_TASK_EDGES", 0)
+    assert rows(name_variants.link_variants(d), "id", "bearer") == once
+    assert {(101, 100), (103, 102), (111, 110)} <= set(once)
+
+
+def test_slip_keys_are_never_broadcast(spark):
+    forms = [(1, "tolmander", 5), (2, "polmander", 1), (3, "olmander", 1), (4, "polmunder", 1)]
+    shelf = Shelf(spark, "t")
+    d = shelf.put(spark.createDataFrame([(c, own, "P|johann|", n, n, n) for c, own, n in forms], "c long, own string, tag string, rows long, whole long, top long"))
+    got = name_variants._slip_edges(d, 2, None, shelf)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "a", "b") == [(2, 1), (3, 1), (4, 2)]

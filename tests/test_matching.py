@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import closure, dual_tree, matches as known, metrics, pairs, panel_ids, suggest, synthetic
-from kinweave.operators.components import connected_components
+from kinweave.operators.components import components_in_one_task, connected_components
 from kinweave.operators.ordering import global_positions
 from kinweave.runtime import Shelf, skew_lookup
 from tests.conftest import rows
@@ -178,6 +179,15 @@ def test_components_against_union_find(spark):
     assert got == sorted((x, find(x)) for x in list(parent))
 
 
+def test_components_in_one_task(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(1990, 2000)] + [(7, 7), (None, 3), (4, None), (2**62, -(2**62))]
+    for kind, given in (("long", edges), ("string", [tuple(x if x is None else f"ä{x}" for x in e) for e in edges])):
+        d = spark.createDataFrame(given, f"left {kind}, right {kind}").repartition(5)
+        assert rows(components_in_one_task(d), "id", "group_id") == rows(connected_components(d), "id", "group_id")
+        assert components_in_one_task(d.limit(0)).count() == 0
+
+
 def test_string_components_and_empty(spark):
     assert rows(connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "left string, right string")), "id", "group_id") == [("a", "a"), ("b", "a"), ("c", "a")]
     assert connected_components(spark.createDataFrame([], "left long, right long")).count() == 0

@@ -6,11 +6,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
-from kinweave.functions.kernels import KERNELS
+from kinweave.functions import kernels
+from kinweave.functions.kernels import KERNELS, MANY, by_value_pairs
 from kinweave.runtime import ship
 
 Builder = Callable[[Column, Column], Column]
@@ -53,15 +54,15 @@ def within_degrees(limit: float) -> Builder:
     return lambda a, b: F.when(F.abs(a.cast("double") - b.cast("double")) <= limit, 1.0).otherwise(0.0)
 
 
-def arrow(name: str, f: Callable[[str, str], float]) -> Builder:
-    """A two-argument Python function as an Arrow-batched expression."""
+def arrow(name: str, f: Callable[[str, str], float], many: Callable | None = None) -> Builder:
+    """A two-argument Python function as an Arrow-batched expression, called once per value pair of a batch; ``many`` scores all of them at once."""
 
     def build(a: Column, b: Column) -> Column:
         ship(SparkSession.active())
 
-        @F.pandas_udf(DoubleType())
-        def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([None if p is None or q is None else float(f(p, q)) for p, q in zip(x, y)], dtype="float64")
+        @F.arrow_udf(DoubleType())
+        def kernel(x: pa.Array, y: pa.Array) -> pa.Array:
+            return by_value_pairs(x, y, f, many)
 
         return kernel(a, b).alias(name)
 
@@ -74,13 +75,15 @@ class Similarities:
 
     ``text`` names those that compare texts (other types are cast), ``python``
     those that run in Python workers and are better scored once per value pair,
-    ``presence`` those that judge missing values themselves.
+    ``presence`` those that judge missing values themselves.  ``batched`` are
+    quicker builders of the same values for many different value pairs.
     """
 
     builders: dict[str, Builder]
     text: frozenset[str] = frozenset()
     python: frozenset[str] = frozenset()
     presence: frozenset[str] = field(default_factory=lambda: frozenset(("notmissing", "notzero")))
+    batched: dict[str, Builder] = field(default_factory=dict)
 
     @classmethod
     def default(cls, lat_radius_km: float = 10.0, lon_radius_km: float = 10.0, lat_ref: float = 54.0) -> Similarities:
@@ -89,20 +92,23 @@ class Similarities:
             "levenshtein": levenshtein, "cosine": cosine, "commonness_score": commonness_score, "pct_diff": pct_diff,
             "within_km_lat": within_degrees(lat_radius_km / KM_PER_DEGREE), "within_km_lon": within_degrees(lon_radius_km / lon_km), "notmissing": None, "notzero": None,
         }
-        return cls(native | {n: arrow(n, f) for n, f in KERNELS.items()}, frozenset(("levenshtein", "cosine", *KERNELS)), frozenset(KERNELS))
+        return cls(native | {n: arrow(n, f, MANY.get(n)) for n, f in KERNELS.items()}, frozenset(("levenshtein", "cosine", *KERNELS)), frozenset(KERNELS), batched={"levenshtein": arrow("levenshtein", kernels.levenshtein, MANY["levenshtein"])})
 
     def adding(self, name: str, builder: Builder, text: bool = False) -> Similarities:
-        return Similarities({**self.builders, name: builder}, self.text | {name} if text else self.text, self.python, self.presence)
+        return Similarities({**self.builders, name: builder}, self.text | {name} if text else self.text, self.python, self.presence, self._batched_but(name))
 
     def adding_python(self, name: str, f: Callable[[str, str], float]) -> Similarities:
-        return Similarities({**self.builders, name: arrow(name, f)}, self.text | {name}, self.python | {name}, self.presence)
+        return Similarities({**self.builders, name: arrow(name, f)}, self.text | {name}, self.python | {name}, self.presence, self._batched_but(name))
+
+    def _batched_but(self, name: str) -> dict[str, Builder]:
+        return {n: b for n, b in self.batched.items() if n != name}
 
     def check(self, names) -> None:
         unknown = sorted(set(names) - set(self.builders))
         if unknown:
             raise KeyError(f"unknown similarities {unknown}; available: {sorted(self.builders)}")
 
-    def column(self, name: str, a: Column, kind_a: str, b: Column, kind_b: str) -> Column:
+    def column(self, name: str, a: Column, kind_a: str, b: Column, kind_b: str, batched: bool = False) -> Column:
         """The similarity of two values; 0.0 where either is missing."""
         self.check([name])
         if name in self.presence:
@@ -117,4 +123,4 @@ class Similarities:
         if name in self.text:
             a, b = a.cast("string"), b.cast("string")
         keep = lambda c: F.when(~gone, c)
-        return F.coalesce(F.when(~gone, self.builders[name](keep(a), keep(b))), F.lit(0.0))
+        return F.coalesce(F.when(~gone, (batched and self.batched.get(name) or self.builders[name])(keep(a), keep(b))), F.lit(0.0))

@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions import kernels
 from kinweave.operators import closure, dual_tree, matches as known, metrics, pairs, panel_ids, suggest, synthetic
 from kinweave.operators.components import components_in_one_task, connected_components
 from kinweave.operators.ordering import global_positions
@@ -288,3 +290,25 @@ def test_large_components_are_whole(spark):
     assert closure.data_preparation_panel(p, chain, "id").left.count() == 20_001  # without any pairs
     groups = spark.createDataFrame([(1, k) for k in range(1, 24)] + [(50, 50), (50, 51)], "group_id long, id long")
     assert rows(closure.linked_pairs(groups, "left", "right", 4), "left", "right") == [(a, b) for a in range(1, 24) for b in range(a + 1, 24)] + [(50, 51)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_value_pairs_are_scored_in_place(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 3)
+    d = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(["anna", "hanna", "", "otto", None, "ärna", "a" * 70, "naan"])], "id long, name string, b int")
+    f = pairs.similarity_features(d, d, None, {"name": ["jaro_winkler"]}, "id", "id", block_on=[("b", "b")])
+    assert "Aggregate" not in _plan(f)  # no second pass over the pairs for their distinct values
+    name = {r["id"]: r["name"] for r in d.collect()}
+    want = {(i, j): kernels.jaro_winkler(name[i] or "", name[j] or "") for i in name for j in name if i % 2 == j % 2}
+    assert {(r[0], r[1]): r[2] for r in f.collect()} == want
+
+
+def test_many_words_at_once_agree_with_one_by_one():
+    rng = random.Random(1)
+    words = ["".join(rng.choice(a) for _ in range(rng.choice([0, 1, 3, 9, 31, 32, 33, 64, 65]))) for a in ["ab", "abcd ", "aä日", "a\0"] * 12]
+    at = np.array([[rng.randrange(len(words)), rng.randrange(len(words))] for _ in range(600)])
+    for f, many in ((getattr(kernels, n), many) for n, many in kernels.MANY.items()):
+        assert many(words, words, at[:, 0], at[:, 1]).tolist() == [f(words[i], words[j]) for i, j in at.tolist()]

@@ -312,3 +312,16 @@ def test_many_words_at_once_agree_with_one_by_one():
     at = np.array([[rng.randrange(len(words)), rng.randrange(len(words))] for _ in range(600)])
     for f, many in ((getattr(kernels, n), many) for n, many in kernels.MANY.items()):
         assert many(words, words, at[:, 0], at[:, 1]).tolist() == [f(words[i], words[j]) for i, j in at.tolist()]
+
+
+def test_few_matches_are_looked_up_without_a_shuffle_of_pairs(spark):
+    d = spark.range(40).withColumn("name", F.lit("a"))
+    m = spark.createDataFrame([(1, 2), (1, 2), (3, None)], "left long, right long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = pairs.candidate_pairs(d, d, {"name": ["notmissing"]}, "id", "id", [("name", "name")])
+        out = pairs.label_pairs(p, m, "id_left", "id_right")
+        assert "BroadcastHashJoin" in _plan(out) and rows(out.filter("match = 1"), "id_left", "id_right") == [(1, 2)] and out.count() == 1600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

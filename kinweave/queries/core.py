@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinweave.functions.similarity import Similarities
 from kinweave.operators import closure, commonness, dual_tree, matches as known, metrics, pairs, panel_ids, prepare, suggest, synthetic
@@ -29,6 +29,15 @@ def query(sql: str | None = None, name: str | None = None):
 
 # --- pairs of customers and suppliers of one nation, the flagship ------------------------------------------------
 
+def _rounded(c: Column, places: int) -> Column:
+    """Half away from zero, as SQL rounds a double, without a decimal for each pair."""
+    scale = float(10**places)
+    x = F.abs(c * scale)
+    whole = F.floor(x).cast("double")
+    up = F.when(x < 2.0**52, whole + F.when(x - whole >= 0.5, 1.0).otherwise(0.0)).otherwise(x) / scale
+    return F.when(x < float("inf"), F.when(c < 0, -up).otherwise(up)).otherwise(c)
+
+
 _NAMES = MatchSpec.of({"c_name~s_name": ["levenshtein", "notmissing"], "c_acctbal~s_acctbal": ["notzero", "pct_diff"]})
 _BLOCK = [("c_nationkey", "s_nationkey")]
 _LEV = "1.0 - levenshtein(c_name, s_name) / greatest(length(c_name), length(s_name))::DOUBLE"
@@ -179,7 +188,7 @@ def _sim(name: str, sql_value: str, spec: dict, feature: str) -> None:
     @query(f"SELECT c_custkey, s_suppkey, round(({sql_value})::DOUBLE, 9) AS score FROM {_PAIRS}", name)
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = pairs.similarity_features(read(spark, d, "customer"), read(spark, d, "supplier"), None, spec, "c_custkey", "s_suppkey", block_on=_BLOCK)
-        return f.select("c_custkey", "s_suppkey", F.round(feature, 9).alias("score"))
+        return f.select("c_custkey", "s_suppkey", _rounded(F.col(feature), 9).alias("score"))
 
 
 _sim("sim_levenshtein", _LEV, {"c_name~s_name": ["levenshtein"]}, "col_c_name_s_name_levenshtein")
@@ -193,7 +202,7 @@ _sim("sim_jaro_winkler", "jaro_winkler_similarity(c_name, s_name)", {"c_name~s_n
 def sim_commonness(spark: SparkSession, d: str) -> DataFrame:
     c, s = read(spark, d, "customer").withColumn("x", F.col("c_acctbal") / 10000), read(spark, d, "supplier").withColumn("x", F.col("s_acctbal") / 10000)
     f = pairs.similarity_features(c, s, None, {"x": ["commonness_score"]}, "c_custkey", "s_suppkey", block_on=_BLOCK)
-    return f.select("c_custkey", "s_suppkey", F.round("col_x_x_commonness_score", 6).alias("score"))
+    return f.select("c_custkey", "s_suppkey", _rounded(F.col("col_x_x_commonness_score"), 6).alias("score"))
 
 
 def _within(a: str, b: str, limit: str) -> str:

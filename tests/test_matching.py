@@ -325,3 +325,19 @@ def test_few_matches_are_looked_up_without_a_shuffle_of_pairs(spark):
         assert "BroadcastHashJoin" in _plan(out) and rows(out.filter("match = 1"), "id_left", "id_right") == [(1, 2)] and out.count() == 1600
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rounding_of_scores(spark):
+    from kinweave.queries.core import _rounded
+
+    values = [0.1234567895, -0.1234567895, 2.5e-9, -2.5e-9, 0.0009765625, 1 / 3, 0.0, 1e300, float("inf"), float("-inf"), None, 4.9e-10, 5e-10, 123456.7891234564]
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").withColumn("r", _rounded(F.col("v"), 9))
+
+    def half_away(v):
+        if v is None or math.isinf(v) or abs(v) * 1e9 >= 2**52:
+            return v
+        x = abs(v) * 1e9
+        return math.copysign((math.floor(x) + (x - math.floor(x) >= 0.5)) / 1e9, v)
+
+    assert {r["k"]: r["r"] for r in d.collect()} == {k: half_away(v) for k, v in enumerate(values)}
+    assert d.withColumn("n", _rounded(F.lit(float("nan")), 9)).filter(F.isnan("n")).count() == len(values)

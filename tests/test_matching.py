@@ -341,3 +341,13 @@ def test_rounding_of_scores(spark):
 
     assert {r["k"]: r["r"] for r in d.collect()} == {k: half_away(v) for k, v in enumerate(values)}
     assert d.withColumn("n", _rounded(F.lit(float("nan")), 9)).filter(F.isnan("n")).count() == len(values)
+
+
+def test_all_text_comparisons_of_few_values_are_looked_up(spark):
+    d = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(["anna b", "b anna", "", None, "anna b", "otto"])], "id long, name string, b int")
+    spec = {"name": ["cosine", "levenshtein", "token_sort_ratio", "notmissing"]}
+    f = pairs.similarity_features(d, d, None, spec, "id", "id", block_on=[("b", "b")])
+    top = _plan(f.select("id_left", "col_name_name_cosine")).split("BroadcastExchange")[0]
+    assert "array_intersect" not in top  # compared for each value pair, not for each pair
+    slow = pairs.score_pairs(pairs.candidate_pairs(d, d, spec, "id", "id", [("b", "b")]), spec, distinct_values=False)
+    assert rows(f, *slow.columns) == rows(slow, *slow.columns) and f.count() == 18

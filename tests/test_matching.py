@@ -351,3 +351,16 @@ def test_all_text_comparisons_of_few_values_are_looked_up(spark):
     assert "array_intersect" not in top  # compared for each value pair, not for each pair
     slow = pairs.score_pairs(pairs.candidate_pairs(d, d, spec, "id", "id", [("b", "b")]), spec, distinct_values=False)
     assert rows(f, *slow.columns) == rows(slow, *slow.columns) and f.count() == 18
+
+
+def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
+    d = spark.createDataFrame([(k, f"n{k}", "x" if k < 30 else f"y{k % 3}" if k < 45 else None, k % 2) for k in range(60)], "id long, name string, b string, c int")
+    want = rows(pairs.candidate_pairs(d, d, {"name": ["levenshtein"]}, "id", "id", [("b", "b"), ("c", "c")]), "id_left", "id_right", "l_name", "r_name")
+    for rows_cast, small in ((0, False), (100, True)):
+        monkeypatch.setattr(pairs, "PAIRS_A_TASK", 20)
+        monkeypatch.setattr(pairs, "BROADCAST_ROWS", rows_cast)
+        p = pairs.candidate_pairs(d, d, {"name": ["levenshtein"]}, "id", "id", [("b", "b"), ("c", "c")])
+        assert rows(p, "id_left", "id_right", "l_name", "r_name") == want and ("__left_left" in _plan(p)) != small
+        assert p.columns == ["id_left", "l_name", "id_right", "r_name"]
+        sizes = [r[1] for r in p.groupBy(F.spark_partition_id()).count().collect()] if small else []
+        assert all(n <= 60 for n in sizes)

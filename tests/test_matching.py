@@ -364,3 +364,12 @@ def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
         assert p.columns == ["id_left", "l_name", "id_right", "r_name"]
         sizes = [r[1] for r in p.groupBy(F.spark_partition_id()).count().collect()] if small else []
         assert all(n <= 60 for n in sizes)
+
+
+def test_edit_distance_of_many_values_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 3)
+    d = spark.createDataFrame([(k, n) for k, n in enumerate(["anna", "hanna", "", "otto", None, "ärna日", "a" * 70])], "id long, name string")
+    f = pairs.similarity_features(d, d, None, {"name": ["levenshtein"]}, "id", "id", block_on=[])
+    native = pairs.score_pairs(pairs.candidate_pairs(d, d, {"name": ["levenshtein"]}, "id", "id"), {"name": ["levenshtein"]})
+    assert "ArrowEvalPython" in _plan(f) and "ArrowEvalPython" not in _plan(native)
+    assert rows(f, *native.columns) == rows(native, *native.columns)

@@ -35,3 +35,15 @@ def test_table_kinds(spark, tmp_path):
         assert rows(io.read_table(spark, str(tmp_path / f"t.{kind}"), "id long, name string").fillna(""), "id", "name") == [(1, "a"), (2, "")]
     io.write_epochs(spark, [{"f1": 0.5}, {"f1": 0.7}], str(tmp_path / "epochs.csv"))
     assert [(r["epoch"], r["f1"]) for r in spark.read.csv(str(tmp_path / "epochs.csv"), header=True).collect()] == [("1", "0.5"), ("2", "0.7")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["suggest_top1", "suggest_topk", "sim_levenshtein", "sim_jaro_winkler", "pairs_blocked", "pairs_labelled_ids", "sim_within_km"])
+def test_pair_queries_agree_with_sql_when_tables_count_as_large(spark, name, monkeypatch):
+    from kinweave.operators import pairs
+
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(pairs, "PAIRS_A_TASK", 40)
+    monkeypatch.setattr(pairs, "MAX_TASKS", 7)
+    compare(spark, core.QUERIES[name], core.SQL[name])
+    assert "__left_left" in core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
